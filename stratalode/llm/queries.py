@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import tokenize, vectors
+from . import neardup, tokenize, vectors
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "chunks"), threshold=0.5).select("id_a", "id_b")
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per chunk: its class over links of similarity 0.5 and the number of its links."""
+    chunks = table(spark, d, "chunks")
+    return neardup.classes(chunks, neardup.near_duplicates(chunks, threshold=0.5))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -38,5 +48,16 @@ r AS (
 SELECT DISTINCT collection, least(q, n) AS id_a, greatest(q, n) AS id_b FROM r WHERE rn <= 5
 """
 
-QUERIES = {"p4_found": p4_found, "p8_ids": p8_ids}
-ORACLES = {"p4_found": _P4_SQL}
+_P5_SQL = """
+WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE content IS NOT NULL),
+w AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+') AS w FROM c),
+s AS (
+  SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS s
+  FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
+"""
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids}
+ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL}
