@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, tokenize, vectors
+from . import leakage, neardup, split, tokenize, vectors
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,10 +27,43 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(chunks, neardup.near_duplicates(chunks, threshold=0.5))
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized item, with their lines or heading."""
+    chunks = table(spark, d, "chunks").select("id", "content", F.col("metadata.section_heading").alias("heading"))
+    index = table(spark, d, "semantic_index").select("id", "content", "start_line")
+    of_chunks = split.split_oversized(chunks.where(F.length("content") > split.LIMIT).dropDuplicates(["id"]), heading_col="heading")
+    of_index = split.split_oversized(index.where(F.length("content") > split.LIMIT).dropDuplicates(["id"]), line_col="start_line")
+    return of_chunks.select(F.lit("chunks").alias("collection"), "*").unionByName(
+        of_index.select(F.lit("semantic_index").alias("collection"), "*"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks, index = table(spark, d, "chunks"), table(spark, d, "semantic_index")
+    chunks = chunks.select("id", "content", F.col("metadata.section_heading").alias("heading"))
+    parts = [
+        split.split_oversized(chunks, heading_col="heading").select(F.lit("chunks").alias("collection"), "id", "piece"),
+        split.split_oversized(index, line_col="start_line").select(F.lit("semantic_index").alias("collection"), "id", "piece"),
+    ]
+    # each oversized text has a second piece
+    return parts[0].unionByName(parts[1]).where("piece = 1").select("collection", "id").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each affected document with the merged spans of each leaked item."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", F.explode("spans").alias("span")).select(
+        "doc_id", "item_id", F.col("span.start").alias("start_pos"), F.col("span.end").alias("end_pos"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
 _P4_SQL = """
 WITH v AS (
   SELECT DISTINCT 'chunks' AS collection, id, embedding::DOUBLE[] AS x FROM chunks
@@ -59,5 +92,23 @@ i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s
 SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
 """
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p8_ids": p8_ids}
-ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
+    "p9_found": p9_found, "p9_spans": p9_spans}
+ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,
+    "p9_found": """
+WITH i AS (
+  SELECT item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w
+  FROM (SELECT item_id, question AS t FROM eval_items UNION ALL SELECT item_id, passage FROM eval_items) WHERE t IS NOT NULL),
+g AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g
+  FROM i WHERE len(w) >= 12),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+h AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g
+  FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+    "p6_found": """
+SELECT 'chunks' AS collection, id FROM chunks WHERE length(content) > 2048
+UNION SELECT 'semantic_index', id FROM semantic_index WHERE length(content) > 2048""",
+}
