@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neardup, split, tokenize, vectors
+from . import leakage, neardup, pii, split, tokenize, vectors
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.occurrences(pii.scrub(table(spark, d, "documents"), with_text=False))
+    return found.select("doc_id", "pii_type", "start_pos").distinct()
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders for personal data."""
+    return pii.scrub(table(spark, d, "documents")).select("doc_id", F.col("clean").alias("text"))
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     """Each affected document with the merged spans of each leaked item."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -94,7 +104,7 @@ SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
-    "p9_found": p9_found, "p9_spans": p9_spans}
+    "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
 ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,
     "p9_found": """
 WITH i AS (
