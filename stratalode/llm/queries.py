@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, neardup, pii, split, tokenize, vectors
+from . import leakage, markup, neardup, pii, split, tokenize, vectors
+
+
+def _markup(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("metadata")
+    return markup.clean_markup(
+        table(spark, d, "chunks"), heading=m["section_heading"], host=F.coalesce(m["repo_id"], m["bundle_id"]),
+        is_code=m["source_type"] == "code")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _markup(spark, d).select("id", F.explode("languages").alias("markup")).distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text and heading of every chunk, one row per id."""
+    return _markup(spark, d).select("id", "heading", "text").dropDuplicates(["id"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +118,7 @@ i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s
 SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
 """
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
 ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,
