@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, markup, neardup, pii, scans, split, tokenize, vectors
+from . import leakage, markup, neardup, pii, scans, sources, split, tokenize, vectors
 
 
 def _scans(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,15 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d).select("id", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sources.unwritten(table(spark, d, "files")).where(F.size("kinds") > 0).select("path")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every code file with what it is; no kinds: hand-written source."""
+    return sources.unwritten(table(spark, d, "files"))
+
+
 def _markup(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("metadata")
     return markup.clean_markup(
@@ -133,7 +142,7 @@ i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s
 SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
 ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,
