@@ -22,7 +22,7 @@ _SECRETS = (
 )
 _DANGLING = (r"(?i)\bsee above\b", r"(?i)\bas mentioned\b", r"(?i)\bcontinued from\b", r"(?i)\bsee below\b")
 # Second parts after which a line-end hyphen belongs to the word.
-DEHYPHENATE_KEEP = ("and", "or", "to", "of", "in", "on", "by", "the")
+DEHYPHENATE_KEEP = ("the", "a", "an", "in", "on", "of", "to", "for", "by", "with", "art", "time", "based", "driven", "level", "scale")
 
 
 def any_of(tests: list[Column]) -> Column:

@@ -167,8 +167,9 @@ def block_ends(lines: DataFrame) -> DataFrame:
 
 # Negation and affirmation words (fixed values).
 NEGATION = (
-    r"(?i)\b(not|no|never|neither|none|cannot|can't|won't|don't|doesn't|didn't|isn't|aren't|wasn't|weren't)\b",
-    r"(?i)\b(deprecated|removed|disabled|unsupported|obsolete)\b", r"(?i)\b(instead of|rather than|unlike|except)\b",
+    r"(?i)\b(not|no|never|cannot|can't|won't|doesn't|don't|isn't|aren't|wasn't|weren't|hasn't|haven't|hadn't)\b",
+    r"(?i)\b(deprecated|removed|obsolete|discontinued|unsupported|disabled)\b",
+    r"(?i)\b(instead of|rather than|unlike|contrary to|in contrast)\b",
 )
 AFFIRMATION = (
     r"(?i)\b(is|are|was|were|has|have|does|do|can|will|should|must)\b", r"(?i)\b(supports?|enables?|provides?|allows?|includes?)\b",
