@@ -40,12 +40,13 @@ def ngram_rows(df: DataFrame, id_col: str, text_col: str, dims: int = DIMENSIONS
     """
     text = F.lower(F.col(text_col)) if lower else F.col(text_col)
     base = df.select(F.col(id_col).alias("id"), text.alias("t")).where(F.length("t") >= 3)
-    parts = []
-    for n, w in WEIGHTS.items():
-        grams = F.transform(
-            F.when(F.length("t") >= n, F.sequence(F.lit(1), F.length("t") - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.substr(F.col("t"), i, F.lit(n)))
-        parts.append(F.transform(grams, lambda g, w=w: F.struct((F.crc32(g.cast("binary")) % dims).cast("int").alias("idx"), F.lit(float(w)).alias("w"))))
+
+    def cells(n: int, w: int) -> Column:
+        starts = F.when(F.length("t") >= n, F.sequence(F.lit(1), F.length("t") - n + 1)).otherwise(F.array().cast("array<int>"))
+        grams = F.transform(starts, lambda i: F.substr(F.col("t"), i, F.lit(n)))
+        return F.transform(grams, lambda g: F.struct((F.crc32(g.cast("binary")) % dims).cast("int").alias("idx"), F.lit(float(w)).alias("w")))
+
+    parts = [cells(n, w) for n, w in WEIGHTS.items()]
     rows = base.select("id", F.explode(F.concat(*parts)).alias("g")).select("id", "g.idx", "g.w")
     summed = rows.repartition("id").groupBy("id", "idx").agg(F.log1p(F.sum("w")).alias("v"))
     size = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
