@@ -157,7 +157,7 @@ def judge(text: str, path: str, model: NameModel) -> tuple[list[str], bool]:
         dense = blanks < 0.1 and mean_line > 120
         if short >= SHORT_NAMES and mean_line > 100 or dense or entropy >= ENTROPY and short >= SHORT_NAMES and blanks < 0.16:
             kinds.add("minified")
-    if body >= MIN_LINES:
+    if body >= MIN_LINES and "data" not in kinds:
         if top >= TEMPLATE or top >= TEMPLATE_WITH_BANNER and _BANNER.search(head):
             kinds.add("data" if digits >= DIGITS or letters < LETTERS else "generated")
     if (digits >= DIGITS or letters < LETTERS) and n >= 200 and not kinds:
