@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 WINDOW = 12
 SHARD_WORDS = 400_000
 SAMPLE_RATE = 8
@@ -297,7 +299,7 @@ def _block(spark, docs, items, id_col, text_col, window, shard_words) -> DataFra
         if out is not None and out.num_rows:
             yield out
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    slim = spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")))
     return slim.mapInArrow(run, "doc_id bigint, item_id bigint, spans array<struct<start: int, end: int>>")
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 
 K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 40
 K_SHORT, ELL_SHORT, ENTRIES_SHORT = 3, 3, 48
@@ -339,7 +339,7 @@ _PAIRS = "a bigint, b bigint, similarity double, edit_similarity double"
 def content_pairs(df: DataFrame, *, id_col="id", content_col="content", threshold=0.5, alignment=False) -> DataFrame:
     """(a, b, similarity, edit_similarity) between different contents, by their hashes; a < b."""
     nodes = _nodes(df, id_col, content_col)
-    keys = nodes.select("h0", "content").mapInArrow(_keys, "key bigint, h0 bigint")
+    keys = spread(nodes.select("h0", "content")).mapInArrow(_keys, "key bigint, h0 bigint")
     runs = (
         keys.repartition("key").sortWithinPartitions("key", "h0")
         .mapInArrow(_runs, "a bigint, b bigint, key bigint, nth bigint")

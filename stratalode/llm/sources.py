@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 
 KINDS = ("generated", "minified", "data", "vendored")
 
@@ -207,6 +207,7 @@ def unwritten(files: DataFrame) -> DataFrame:
     """(path, kinds) of every present code file; kinds is empty for hand-written source."""
     code = files.select("path", "repo", "kind", "sha256", "text", "updated_at").where(
         (F.lower(F.trim("kind")) == "code") & F.col("path").isNotNull() & (F.length("text") > 0))
+    code = spread(code)
     model = train(code)
     shared = files.sparkSession.sparkContext.broadcast(model)
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LIMIT, OVERLAP = 2048, 200
 
 # Penalties of a cut, by what stands at it.
@@ -177,6 +179,6 @@ def split_oversized(
             yield pd.DataFrame(out, columns=["id", "piece", "pieces", "start_char", "end_char", "start_line", "end_line",
                                              "heading", "content"])
 
-    return rows.mapInPandas(
+    return spread(rows).mapInPandas(
         run, "id string, piece int, pieces int, start_char long, end_char long, start_line int, end_line int, "
              "heading string, content string")
