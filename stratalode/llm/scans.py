@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, spread
+
 SHARE = 2e-6
 MIN_COUNT = 3
 RATIO = 12
-SAMPLE = 2000
+SAMPLE = 600
 MIN_TOPS = 3
 
 # -- misread characters -----------------------------------------------------------------------------------------------
@@ -426,8 +428,8 @@ def lexicon_of(contents: DataFrame, share: float = SHARE, min_count: int = MIN_C
                 yield flush()
         yield flush()
 
-    words = contents.toDF("content").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.where((F.col("n") >= min_count) & (F.length("word") <= 60) & (F.col("word") != ""))
+    words = spread(contents.toDF("content")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = checkpoint(words.where((F.col("n") >= min_count) & (F.length("word") <= 60) & (F.col("word") != "")))  # read twice
     total = words.agg(F.sum("n")).first()[0] or 0
     kept = words.where(F.col("n") >= max(min_count, int(share * total)))
     return {r["word"]: r["n"] for r in kept.collect()}
@@ -440,10 +442,12 @@ def scan_noise(
     """(id, defects, text): the kinds of noise that each page shows, and its text in paragraphs without it."""
     content = F.col("content") if content is None else content
     lexicon = lexicon_of(df.select(content.alias("content")))
+    # one shuffle of the contents, by id; the deduplication and the joins below reuse its partitioning
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = df.select(
         df[id_col].cast("string").alias("id"), content.alias("content"), paper.cast("string").alias("paper"), index.cast("int").alias("page"),
         (F.lit(True) if is_page is None else is_page).alias("is_page"),
-    ).where("is_page and id is not null and content is not null and paper is not null").drop("is_page").dropDuplicates(["id"])
+    ).where("is_page and id is not null and content is not null and paper is not null").drop("is_page").repartition(parts, "id").dropDuplicates(["id"])
 
     def keys(batches):
         for b in batches:
@@ -467,10 +471,10 @@ def scan_noise(
     ends_broken = rf"[{_MARK}][ \t]*(\n+[^\n]{{0,24}})?\s*\z"
     open_ended = pages.where(F.col("page").isNotNull() & F.col("content").rlike(ends_broken)).select(
         F.col("id").alias("ending"), "paper", (F.col("page") + 1).alias("page"))
-    heads = pages.where("page is not null").select("id", "paper", "page", F.substring("content", 1, 600).alias("head"))
-    nexts = open_ended.join(heads, ["paper", "page"]).join(at_top, "id", "left").groupBy("ending").agg(
-        F.min(F.struct("id", "head", F.coalesce("is_top", F.lit(False)).alias("top"))).alias("x")
-    ).select(F.col("ending").alias("id"), F.col("x.head").alias("head"), F.col("x.top").alias("head_top"))
+    # one row per page number, combined before the shuffle, so that a number that many rows share meets each ending once
+    heads = marked.where("page is not null").groupBy("paper", "page").agg(
+        F.min(F.struct("id", F.substring("content", 1, 600).alias("head"), "is_top")).alias("x"))
+    nexts = open_ended.join(heads, ["paper", "page"]).select(F.col("ending").alias("id"), F.col("x.head").alias("head"), F.col("x.is_top").alias("head_top"))
     wide = marked.join(nexts, "id", "left")
 
     def finish(batches):
