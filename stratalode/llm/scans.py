@@ -343,7 +343,7 @@ class Page:
             for k, w in enumerate(words):
                 if tail is not None and k == len(words) - 1:
                     continue
-                if first and k == 0 and not joined_here and w[:1].islower() and w.isalpha() and not lexicon.known(w.lower()):
+                if first and k == 0 and not joined_here and w[:1].islower() and w.rstrip(".,;").isalpha() and self._may_be_rest(w.rstrip(".,;"), lexicon):
                     done.append(w)  # perhaps the rest of a word of the page before
                     continue
                 done.append(self._word(w, lexicon))
@@ -358,6 +358,12 @@ class Page:
                 out.append(" ".join(done))
         self.text = "\n\n".join(p for p in out if p)
 
+    @staticmethod
+    def _may_be_rest(w: str, lexicon: Lexicon) -> bool:
+        """Short or unknown at the start of a page, and not clearly a common word misread."""
+        true = lexicon.true_form(w)
+        return len(w) < 4 or not lexicon.known(w) or true is not None and lexicon.known(true) < 200 * lexicon.known(w)
+
     def _word(self, w: str, lexicon: Lexicon) -> str:
         lead = len(w) - len(w.lstrip("([{\"'“«"))
         end = len(w.rstrip(",;:?)]}\"”»"))
