@@ -9,7 +9,7 @@ whatever the number of rows. (3) One group per leaf compares its vectors exactly
 each id above ``floor``; a leaf far above its target is split further inside its group by trees of its own.
 (4) One shuffle by id keeps the best k over all leaves. No step sees more than a leaf or one id's candidates.
 
-Measured against brute force over 96,600 vectors at 16 leaves: see the README for the recall (3 trees, 7 probes).
+Measured against brute force over 96,600 vectors at 16 leaves: see the README for the recall (3 trees, 8 probes).
 
 Exact copies: of vectors with equal values only the ``k + 1`` smallest ids are indexed, since by the tie rule no
 other copy can be among anyone's k nearest; the other copies get their k smallest fellows (cosine 1) by a join.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SAMPLE = 32768
 LEAF = 8192
 TREES = 3
-PROBES = 7
+PROBES = 8
 _BLOCK = 1024
 
 
