@@ -114,7 +114,7 @@ def credential_issues(lines: DataFrame) -> DataFrame:
 
 def suppress(issues: DataFrame, lines: DataFrame) -> DataFrame:
     """Issues without those whose line, or the line before, carries a directive: an anti join on (path, line)."""
-    directive = lines.where(F.col("content").rlike(r"(?i)preflight-ignore|nosec|eslint-disable")).select(
+    directive = lines.where(F.col("content").rlike(r"(?i)[a-z]+-ignore\b|nosec|eslint-disable")).select(
         "path", F.explode(F.array(F.col("line_no"), F.col("line_no") + 1)).alias("line_no"))
     return issues.join(directive, ["path", "line_no"], "left_anti")
 

@@ -220,7 +220,7 @@ _PAPER = """CASE WHEN regexp_extract(t, '(?i)arxiv(?:\\.org/(?:abs|pdf)/|[:\\s]+
   WHEN regexp_extract(t, '\\b(10\\.\\d{4,9}/[^\\s"<>]+)', 1) <> '' THEN 'doi:' || regexp_replace(regexp_extract(t, '\\b(10\\.\\d{4,9}/[^\\s"<>]+)', 1), '[.,;)]+$', '') END"""
 _CRED = f"""WITH {_LINES}, a AS (SELECT path, line_no, content, regexp_extract(content, '([A-Za-z_][\\w.-]*)["'']?\\s*[:=]+\\s*["'']([^"'']+)["'']', 1) AS name,
   regexp_extract(content, '([A-Za-z_][\\w.-]*)["'']?\\s*[:=]+\\s*["'']([^"'']+)["'']', 2) AS v FROM ln),
-sup AS (SELECT path, unnest([line_no, line_no + 1]) AS line_no FROM ln WHERE regexp_matches(content, '(?i)preflight-ignore|nosec|eslint-disable'))
+sup AS (SELECT path, unnest([line_no, line_no + 1]) AS line_no FROM ln WHERE regexp_matches(content, '(?i)[a-z]+-ignore\b|nosec|eslint-disable'))
 """
 
 QUERIES = {f.__name__: f for f in (
