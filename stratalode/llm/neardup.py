@@ -186,6 +186,49 @@ def banded_alignment(a: np.ndarray, b: np.ndarray, band: int = 32) -> float:
     return 1.0 - min(int(d), max(n, m)) / max(n, m)
 
 
+def banded_alignments(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = 32) -> np.ndarray:
+    """As banded_alignment for many pairs: pairs of like sizes are rows of one array, one step per word of the longest."""
+    out = np.zeros(len(pairs))
+    sizes = np.array([(len(a), len(b)) for a, b in pairs]).reshape(-1, 2)
+    empty = sizes.min(axis=1) == 0
+    out[empty] = (sizes[empty, 0] == sizes[empty, 1]).astype(float)
+    todo = np.flatnonzero(~empty)
+    half_of = band + np.abs(sizes[:, 0] - sizes[:, 1])
+    order = todo[np.lexsort((sizes[todo, 0], half_of[todo] // 16))]
+    at = 0
+    while at < len(order):
+        pick = order[at : at + 256]
+        pick = pick[half_of[pick] // 16 == half_of[pick[0]] // 16]
+        at += len(pick)
+        n, m = sizes[pick, 0], sizes[pick, 1]
+        half = int(half_of[pick].max())
+        rows, width, far = len(pick), int(m.max()), int((n + m).max()) + 1
+        other = np.zeros((rows, width + 1), dtype=np.uint64)
+        own = np.zeros((rows, int(n.max())), dtype=np.uint64)
+        for k, p in enumerate(pick):
+            own[k, : n[k]], other[k, 1 : m[k] + 1] = pairs[p][0], pairs[p][1]
+        offsets = np.arange(-half, half + 1)
+        steps = np.arange(len(offsets))
+        row = np.where((offsets >= 0) & (offsets <= m[:, None]), offsets, far).astype(np.int64)
+        last = np.full(rows, far)
+        for i in range(1, int(n.max()) + 1):
+            j = offsets + i
+            inside = (j >= 0) & (j <= m[:, None])
+            same = other[:, np.clip(j, 0, width)] == own[:, i - 1 : i]
+            swap = row + ~(same & (j >= 1))
+            swap[:, j < 1] = far
+            drop = np.concatenate([row[:, 1:], np.full((rows, 1), far)], axis=1) + 1
+            best = np.where(inside, np.minimum(swap, drop), far)
+            best[:, j == 0] = i
+            row = np.where(inside, np.minimum.accumulate(best - steps, axis=1) + steps, far)
+            ends = n == i
+            if ends.any():
+                last[ends] = row[ends, half + m[ends] - n[ends]]
+        longest = np.maximum(n, m)
+        out[pick] = 1.0 - np.minimum(last, longest) / longest
+    return out
+
+
 def _enough_words(content: Column) -> Column:
     w, g = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
     return content.rlike(f"{w}{g}+{w}+{g}+{w}")
@@ -278,6 +321,11 @@ def _runs(batches):
     yield flush()
 
 
+def _columns(rows: list[tuple], alignment: bool) -> list:
+    a, b, j, words = list(zip(*rows)) or [(), (), (), ()]
+    return [a, b, j, banded_alignments(list(words)).tolist() if alignment else [None] * len(a)]
+
+
 def _verify_pairs(threshold: float, alignment: bool):
     def run(batches):
         words = Words()
@@ -296,8 +344,8 @@ def _verify_pairs(threshold: float, alignment: bool):
                         continue
                     j = jaccard(sa, sb)
                     if j >= threshold:
-                        rows.append((x, y, j, banded_alignment(wa, wb) if alignment else None))
-                cols = list(zip(*rows)) or [(), (), (), ()]
+                        rows.append((x, y, j, (wa, wb)))
+                cols = _columns(rows, alignment)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
                      pa.array(cols[3], pa.float64())], names=["a", "b", "similarity", "edit_similarity"])
@@ -324,8 +372,8 @@ def _verify_blocks(threshold: float, alignment: bool):
                     continue
                 j = jaccard(sa, sb)
                 if j >= threshold:
-                    rows.append((min(h, g), max(h, g), j, banded_alignment(wa, wb) if alignment else None))
-        cols = list(zip(*rows)) or [(), (), (), ()]
+                    rows.append((min(h, g), max(h, g), j, (wa, wb)))
+        cols = _columns(rows, alignment)
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()),
                          "similarity": pa.array(cols[2], pa.float64()),
                          "edit_similarity": pa.array(cols[3], pa.float64())})

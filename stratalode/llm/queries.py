@@ -61,6 +61,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "chunks"), threshold=0.5).select("id_a", "id_b")
 
 
+def p5_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their set similarity and their edit similarity by banded alignment."""
+    return neardup.near_duplicates(table(spark, d, "chunks"), threshold=0.5, alignment=True)
+
+
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk: its class over links of similarity 0.5 and the number of its links."""
     chunks = table(spark, d, "chunks")
@@ -142,7 +147,7 @@ i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s
 SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes,
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_aligned": p5_aligned, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
 ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,

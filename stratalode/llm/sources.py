@@ -133,9 +133,7 @@ def judge(text: str, path: str, model: NameModel) -> tuple[list[str], bool]:
     head = "\n".join(lines[:6])
     lang = language(path)
     n = len(t)
-    digits = sum(c.isdigit() for c in t) / n
-    letters = sum(c.isalpha() for c in t) / n
-    blanks = sum(c.isspace() for c in t) / n
+    digits, letters, blanks = (sum(map(test, t)) / n for test in (str.isdigit, str.isalpha, str.isspace))
     blob = sum(len(m[0]) for m in _BLOB_LINE.finditer(t)) / n
     names = names_of(t)
     short = sum(len(x) <= 2 for x in names) / max(1, len(names))
@@ -171,10 +169,12 @@ def judge(text: str, path: str, model: NameModel) -> tuple[list[str], bool]:
 
 def _count_names(batches):
     for b in batches:
-        counts: Counter = Counter()
+        names: dict[str, Counter] = {}
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lang = language(path)
-            for name, k in Counter(names_of(text)).items():
+            names.setdefault(language(path), Counter()).update(names_of(text))
+        counts: Counter = Counter()
+        for lang, seen in names.items():
+            for name, k in seen.items():
                 for g in trigrams(name):
                     counts[lang, g] += k
         keys = list(counts)

@@ -157,6 +157,18 @@ def test_banded_alignment():
         assert neardup.banded_alignment(np.array(a), np.array(b)) == pytest.approx(want)
 
 
+def test_alignments_of_many_pairs(spark, near_rows):
+    rng = random.Random(13)
+    pairs = []
+    for _ in range(300):
+        a = [rng.randrange(6) for _ in range(rng.randrange(0, 70))]
+        b = [rng.randrange(6) for _ in range(rng.randrange(0, 70))] if rng.random() < 0.5 else [x if rng.random() < 0.8 else 9 for x in a]
+        pairs.append((np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)))
+    assert neardup.banded_alignments(pairs) == pytest.approx([neardup.banded_alignment(a, b) for a, b in pairs])
+    got = neardup.near_duplicates(near_frame(spark, near_rows), alignment=True).collect()
+    assert got and all(0 <= r["edit_similarity"] <= 1 and r["similarity"] >= 0.5 for r in got)
+
+
 # -- splitting --------------------------------------------------------------------------------------------------------------
 
 TEXTS = ["a" * 10_000, "x y " * 3000, "e\u0301" * 4000, "\r\n" * 5000, "中文。" * 3000, ("para one. " * 30 + "\n\n") * 60, "# H\n\n" + "word " * 900 + "\n\n## K\n\n" + "line\n" * 900, "\u200d" * 6000]
