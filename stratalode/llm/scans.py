@@ -320,6 +320,9 @@ class Page:
                 out.append("")
                 continue
             words = line.split()
+            if carry and line.strip().isdigit() and any(x.strip() and not x.strip().isdigit() for x in body[i + 1 :]):
+                out[-1:] = [f"{out[-1]} {line.strip()}".strip()] if out and out[-1] else [line.strip()]
+                continue  # a number between the halves of a word does not end it
             if carry:
                 nxt = words[0] if words else ""
                 is_broken, joined = broken_word(carry, nxt, lexicon)

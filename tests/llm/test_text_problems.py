@@ -47,11 +47,13 @@ def test_headers_numbers_misread(spark, scan_rows):
 def test_broken_words_and_compounds(spark, scan_rows):
     rows = [list(r) for r in scan_rows]
     rows += [["c0", "we read the trus-\nted snapshot under time-\nbounded scheduler", "c", 0], ["c1", "the pruned lexi\u00ad", "c", 1], ["c2", "con counts words", "c", 2],
+             ["c4", "we read under time-\n222\nbounded scheduler", "c", 7], ["c5", "we read the trus-\n333\nted snapshot", "c", 8],
              ["c3", "the tlie model st0res every", "c", 3]]
     rows += [[f"t{i}", "every time-bounded scheduler reads the index", "t", i] for i in range(6)]
     got = run_scans(spark, rows)
     assert "hyphenation" in got["c0"][0] and "trusted snapshot" in got["c0"][1] and "time-bounded" in got["c0"][1]
     assert "hyphenation" in got["c1"][0] and "hyphenation" not in got["c2"][0]
+    assert "hyphenation" not in got["c4"][0] and "hyphenation" in got["c5"][0] and "trusted" in got["c5"][1]
     assert "misread" in got["c3"][0] and "stores" in got["c3"][1]
 
 
