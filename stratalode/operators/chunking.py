@@ -218,3 +218,55 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): rows as lines of a pipe table, pipes and line ends escaped."""
     cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
+
+
+def hierarchy(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, chunk_id, parent_id, level, kind, section, first_line, content) of three levels: document, section, piece.
+
+    A document's coarse chunk is its first 500 characters; a section is a heading with its line; a piece is a semantic chunk with
+    its section and kind in front. Parents are found by position: the last heading at or before a piece's first line, else the document.
+    Ids are hashes of document, level and position, so no two of a collection are equal.
+    """
+    base = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("t")).where("doc is not null and t is not null")
+    key = lambda level, pos: F.concat(F.lit("chunk_"), F.substring(F.sha2(F.concat_ws("|", "doc", F.lit(level), pos.cast("string")), 256), 1, 16))
+    top = base.select("doc", key("l1", F.lit(0)).alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("l1").alias("level"), F.lit("summary").alias("kind"),
+                      F.lit(None).cast("string").alias("section"), F.lit(1).alias("first_line"), F.substring("t", 1, 500).alias("content"))
+    heads = headings(base, "doc", F.col("t"))
+    sections = heads.select("doc", key("l2", F.col("line_no")).alias("chunk_id"), key("l1", F.lit(0)).alias("parent_id"), F.lit("l2").alias("level"), F.lit("section").alias("kind"),
+                            F.col("title").alias("section"), F.col("line_no").alias("first_line"), F.col("title").alias("content"))
+    pieces = semantic_chunks(base, "doc", "t").select("doc", "ordinal", "kind", "first_line", "content")
+    # headings and pieces of a document in one order: each piece takes the last heading above
+    both = pieces.select("doc", F.col("first_line").alias("line"), F.lit(1).alias("side"), "ordinal", "kind", "content", F.lit(None).cast("string").alias("title")).unionByName(
+        heads.select("doc", F.col("line_no").alias("line"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("kind"),
+                     F.lit(None).cast("string").alias("content"), "title"))
+    w = Window.partitionBy("doc").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("hl", F.last(F.when(F.col("side") == 0, F.col("line")), True).over(w)).withColumn("sec", F.last("title", True).over(w)).where("side = 1")
+    prefix = F.concat(F.lit("["), F.coalesce("sec", F.lit("-")), F.lit("] ["), F.upper("kind"), F.lit("] "))
+    fine = placed.select("doc", key("l3", F.col("ordinal")).alias("chunk_id"), F.when(F.col("hl").isNull(), key("l1", F.lit(0))).otherwise(key("l2", F.col("hl"))).alias("parent_id"),
+                         F.lit("l3").alias("level"), "kind", F.col("sec").alias("section"), F.col("line").alias("first_line"), F.concat(prefix, "content").alias("content"))
+    return top.unionByName(sections).unionByName(fine)
+
+
+def html_cells(df: DataFrame, id_col: str, html: Column) -> DataFrame:
+    """(id, tbl, row, cells): rows of HTML tables, tags inside cells left out; a narrow map of built-in expressions."""
+    tables = df.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("tbl", "t"))
+    rows = tables.select("id", "tbl", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
+    return rows.select("id", "tbl", "row", F.array_join(cells, " | ").alias("cells"))
+
+
+def resolve_links(df: DataFrame, base_col: str, link_col: str) -> DataFrame:
+    """The frame with ``resolved``: each link against its base by the standard library, batch by batch."""
+    from urllib.parse import urljoin
+
+    @F.pandas_udf("string")
+    def join(base: pd.Series, link: pd.Series) -> pd.Series:
+        def one(b, u):
+            try:
+                return urljoin(b, u) if b is not None and u is not None else None
+            except ValueError:
+                return None
+
+        return pd.Series([one(b, u) for b, u in zip(base, link)])
+
+    return df.withColumn("resolved", join(F.col(base_col), F.col(link_col)))

@@ -176,6 +176,19 @@ def error_prone(files: DataFrame) -> DataFrame:
     return rows.select("path", "x.rule", F.col("x.hits").cast("long").alias("hits")).where("hits > 0")
 
 
+def missing_breaks(lines: DataFrame) -> DataFrame:
+    """(path, line_no): case labels that are reached from a case with statements that does not leave; empty cases are meant.
+
+    Over the lines of switch statements: the line before a label (comments and blanks aside) must end the case or be a label itself.
+    """
+    code_line = F.trim(F.regexp_replace("content", r"//.*$", ""))
+    body = lines.withColumn("c", code_line).where("c <> ''")
+    before = F.lag("c").over(Window.partitionBy("path").orderBy("line_no"))
+    label = F.col("c").rlike(r"^(case\b.*|default\s*):")
+    leaves = F.col("b").rlike(r"\b(break|return|throw|continue|goto|exit)\b|^\s*(case\b.*|default\s*):\s*$|switch\s*\(|\{\s*$")
+    return body.withColumn("b", before).where(label & F.col("b").isNotNull() & ~leaves).select("path", "line_no")
+
+
 DEFINITION = r"(?m)^\s*(?:export\s+)?(?:async\s+)?(?:pub\s+)?(?:public\s+|private\s+|static\s+|final\s+)*(class|interface|struct|def|function|func|fn)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"
 
 

@@ -8,7 +8,8 @@ from ..operators import code, documents, facts, ingest, retrieval, search
 from ..session import table
 from ..sources import seams
 from .q_code import _DEF, _files
-from .q_ingest import EXT, PRESENT
+from .q_ingest import _CHUNKS, EXT, PRESENT
+from .q_memory import _M
 from .q_retrieval import QUESTION, _chunks, _query, _scored
 
 
@@ -163,6 +164,80 @@ def x5_context(spark, d):
     return e.groupBy("path", "function").agg(F.count("*").alias("hits"), F.min("line_no").alias("first_line"))
 
 
+def c12_hierarchy(spark, d):
+    """Three linked levels of chunks of every document."""
+    from ..operators import chunking
+
+    return chunking.hierarchy(_docs(spark, d), "doc_id", "text").select("doc", "chunk_id", "parent_id", "level", "kind", "section", "first_line")
+
+
+def c12_parents_exist(spark, d):
+    """Chunks of the hierarchy whose parent is missing: none."""
+    from ..operators import chunking
+
+    h = chunking.hierarchy(_docs(spark, d), "doc_id", "text")
+    return h.where("parent_id is not null").select("chunk_id", "parent_id").join(h.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_anti")
+
+
+def t11_html_cells(spark, d):
+    from ..operators import chunking
+
+    return chunking.html_cells(table(spark, d, "chunks").dropDuplicates(["id"]), "id", F.col("content"))
+
+
+def t22_resolve(spark, d):
+    """Links of HTML chunks against an address of their repository."""
+    from ..operators import chunking
+    from .q_text import h1_links
+
+    links = h1_links(spark, d).withColumn("base", F.lit("https://docs.example/a/b/"))
+    return chunking.resolve_links(links, "base", "link").select("id", "link", "resolved")
+
+
+def k8_missing_breaks(spark, d):
+    from .q_search import _lines
+
+    return code.missing_breaks(_lines(spark, d).where("kind = 'code'"))
+
+
+def x7_modal_search(spark, d):
+    """BM25 over the contents of tables, formulas and figures."""
+    m = F.col("metadata")
+    c = table(spark, d, "chunks").dropDuplicates(["id"]).where(m["chunk_type"].isin("table", "formula", "figure")).select(F.col("id").alias("path"), F.lit(1).alias("line_no"), "content")
+    return search.bm25(c, "stale cache pointer").withColumn("score", F.round("score", 6))
+
+
+def f7_memory_filter(spark, d):
+    from .q_memory import _rows
+
+    m = _rows(spark, d)
+    cond = retrieval.where_all([F.col("user_id") == "kestrel-lab/handbook", F.col("type") == "relation", F.col("created_ms") >= 1_730_000_000_000])
+    return m.where(cond).select("doc_id", "layer")
+
+
+def j5_changed_in_sitemap(spark, d):
+    """Pages that a sitemap says are newer than the last fetch, or of which it says nothing."""
+    docs = table(spark, d, "documents")
+    return docs.where(F.col("updated_at").isNull() | (F.col("updated_at") > F.col("ingested_at"))).select("doc_id")
+
+
+def g9_repo_quality(spark, d):
+    """Score of a repository: card 30, code chunks 50 by variety, readme 15, paper 5."""
+    m = F.col("metadata")
+    c = table(spark, d, "chunks").dropDuplicates(["id"]).groupBy(m["repo_id"].alias("repo")).agg(
+        F.bool_or(m["source_type"] == "repocard").alias("card"), F.bool_or(m["source_type"] == "code").alias("code"), F.bool_or(m["source_type"] == "readme").alias("readme"),
+        F.bool_or(m["source_type"].startswith("pdf")).alias("paper"))
+    i = lambda x, n: F.when(F.col(x), n).otherwise(0)
+    return c.where("repo is not null").select("repo", (i("card", 30) + i("code", 50) + i("readme", 15) + i("paper", 5)).cast("long").alias("score"))
+
+
+def k12_architecture(spark, d):
+    """Per repository: files and lines per top folder, the largest first folder."""
+    t = ingest.normal_text(F.col("text"))
+    f = ingest.present(table(spark, d, "files")).where("text is not null")
+    return f.groupBy("repo", F.substring_index("repo_relative_path", "/", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum(F.size(F.split(t, "\n"))).alias("lines"))
+
+
 _meta = lambda p, pre: f"CASE WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{pre}' || regexp_replace(regexp_replace(regexp_extract(text, '{p}', 1), '[.,;:)\\]]+$', ''), '\\.git$', '') END"
 _PF = PRESENT + ", cf AS (SELECT * FROM pf WHERE kind = 'code')"
 _ASG = _PF + """, al AS (SELECT path, unnest(string_split(body, chr(10))) AS line FROM cf WHERE text IS NOT NULL),
@@ -176,7 +251,8 @@ UNION ALL SELECT bundle_id, 'use_case', nth - 1, concat_ws(chr(10), concat_ws('
 
 QUERIES = {f.__name__: f for f in (
     t10_pages, t14_wrapped, h5_markdown, t26_metadata, t31_model_json, a11_doc_types, a11_project_types, k15_purposes, k15_assignments, k15_patterns, k16_examples, c16_card_chunks, a4_card_stats,
-    f13_functions, w7_top_definitions, w15_second_page, g5_entry_points, g2_outline, embed_offline, r13_answer, r14_pipeline, r15_new_content, r18_entities, v2_scores, x5_context)}
+    f13_functions, w7_top_definitions, w15_second_page, g5_entry_points, g2_outline, embed_offline, r13_answer, r14_pipeline, r15_new_content, r18_entities, v2_scores, x5_context,
+    c12_hierarchy, c12_parents_exist, t11_html_cells, t22_resolve, k8_missing_breaks, x7_modal_search, f7_memory_filter, j5_changed_in_sitemap, g9_repo_quality, k12_architecture)}
 ORACLES = {
     "t10_pages": """WITH l AS (SELECT doc_id AS doc, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc, n, nullif(regexp_extract(line, '(?i)^(?:#{1,6}\\s*page\\s+|page\\s+|---\\s*page\\s+)(\\d+)(?:\\s*---)?\\s*$', 1), '')::INT AS p FROM l)
@@ -203,4 +279,13 @@ SELECT repo, CASE WHEN dc > 2 * cc THEN 'documentation' WHEN cc > 2 * dc THEN 'c
     "r18_entities": """SELECT b.bundle_id, b.repo, count(DISTINCT c.id) AS chunks FROM bundles b LEFT JOIN chunks c ON c.metadata.bundle_id = b.bundle_id WHERE starts_with(b.repo, 'northpier/') GROUP BY 1, 2""",
     "v2_scores": """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
 SELECT label, round(avg(score), 6) AS mean_score, round(max(score), 6) AS best_score FROM s GROUP BY label""",
+    "t11_html_cells": f"""WITH {_CHUNKS}, t AS (SELECT id, unnest(regexp_extract_all(content, '(?is)<table[^>]*>(.*?)</table>', 1)) AS t, generate_subscripts(regexp_extract_all(content, '(?is)<table[^>]*>(.*?)</table>', 1), 1) - 1 AS tbl FROM ck),
+r AS (SELECT id, tbl, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS r, generate_subscripts(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1), 1) - 1 AS row FROM t)
+SELECT id, tbl, row, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(c, '<[^>]*>', '', 'g'), ' ')), ' | ') AS cells FROM r""",
+    "c12_parents_exist": "SELECT '' AS parent_id, '' AS chunk_id WHERE false",
+    "f7_memory_filter": f"WITH {_M} SELECT doc_id, layer FROM m WHERE user_id = 'kestrel-lab/handbook' AND type = 'relation' AND created_ms >= 1730000000000",
+    "j5_changed_in_sitemap": "SELECT doc_id FROM documents WHERE updated_at IS NULL OR updated_at > ingested_at",
+    "g9_repo_quality": f"""WITH {_CHUNKS} SELECT m.repo_id AS repo, (CASE WHEN bool_or(m.source_type = 'repocard') THEN 30 ELSE 0 END + CASE WHEN bool_or(m.source_type = 'code') THEN 50 ELSE 0 END
+  + CASE WHEN bool_or(m.source_type = 'readme') THEN 15 ELSE 0 END + CASE WHEN bool_or(starts_with(m.source_type, 'pdf')) THEN 5 ELSE 0 END)::BIGINT AS score FROM ck WHERE m.repo_id IS NOT NULL GROUP BY 1""",
+    "k12_architecture": f"WITH {PRESENT} SELECT repo, string_split(rel, '/')[1] AS folder, count(*) AS files, sum(len(string_split(body, chr(10))))::BIGINT AS lines FROM pf WHERE text IS NOT NULL GROUP BY 1, 2",
 }

@@ -88,7 +88,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of an input that has fewer splits than the cluster has cores, dealt out evenly before a costly row-wise step.
 
-    Large inputs have more splits than cores and stay as they are: no shuffle.
+    Large inputs have more splits than cores and stay as they are: no shuffle. Plans that shuffle anyway are left alone.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -143,3 +143,31 @@ def test_sitemap(spark):
     xml = "<urlset><url><loc> https://e.com/a </loc><lastmod>2024-01-02</lastmod></url><url><loc>https://e.com/b</loc><lastmod>soon</lastmod></url></urlset>"
     got = {r["loc"]: r["lastmod"] for r in chunking.sitemap_entries(spark.createDataFrame([(1, xml)], "id int, x string"), "id", F.col("x")).collect()}
     assert got["https://e.com/a"].year == 2024 and got["https://e.com/b"] is None
+
+
+def test_missing_breaks(spark):
+    src = ["switch (x) {", "case 1:", "  a();", "case 2:", "  b();", "  break;", "case 3:", "case 4:", "  return c(); // done", "default:", "  d();", "}"]
+    lines = spark.createDataFrame([("m.js", i + 1, t) for i, t in enumerate(src)] + [("n.js", 1, None)], "path string, line_no int, content string")
+    assert [(r["path"], r["line_no"]) for r in code.missing_breaks(lines).collect()] == [("m.js", 4)]
+
+
+def test_hierarchy_links(spark):
+    df = spark.createDataFrame([(1, "intro text\n\n# A\n\n" + "alpha words. " * 60 + "\n\n## B\n\nbeta"), (2, None), (3, "no heading")], "id int, t string")
+    rows = chunking.hierarchy(df, "id", "t").collect()
+    by = {r["chunk_id"]: r for r in rows}
+    assert len(by) == len(rows) and {r["level"] for r in rows} == {"l1", "l2", "l3"}
+    assert all(r["parent_id"] is None if r["level"] == "l1" else r["parent_id"] in by for r in rows)
+    assert any(r["level"] == "l3" and by[r["parent_id"]]["content"] == "A" and r["content"].startswith("[A]") for r in rows)
+    assert by[next(r for r in rows if r["doc"] == "3" and r["level"] == "l3")["parent_id"]]["level"] == "l1"
+
+
+def test_resolve_links(spark):
+    df = spark.createDataFrame([("https://e.com/a/b", "../c"), ("https://e.com/a/", "//x.org/y"), (None, "z"), ("https://e.com", None)], "base string, link string")
+    assert [r["resolved"] for r in chunking.resolve_links(df, "base", "link").collect()] == ["https://e.com/c", "https://x.org/y", None, None]
+
+
+def test_clones_are_counted_not_paired(spark):
+    block = [f"line number {i} of the copied block" for i in range(8)]
+    rows = [("a", i + 1, t) for i, t in enumerate(["x", *block, "y"])] + [("b", i + 1, t) for i, t in enumerate([*block, "z"])] + [("c", 1, "alone")]
+    got = {(r["path"], r["first_line"], r["lines"], r["files"]) for r in code.clones(spark.createDataFrame(rows, "path string, line_no int, content string")).collect()}
+    assert got == {("a", 2, 8, 2), ("b", 1, 8, 2)}
