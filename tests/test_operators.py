@@ -152,7 +152,7 @@ def test_missing_breaks(spark):
 
 
 def test_hierarchy_links(spark):
-    df = spark.createDataFrame([(1, "intro text\n\n# A\n\n" + "alpha words. " * 60 + "\n\n## B\n\nbeta"), (2, None), (3, "no heading")], "id int, t string")
+    df = spark.createDataFrame([(1, "intro text. " * 30 + "\n\n# A\n\n" + "alpha words. " * 60 + "\n\n## B\n\nbeta"), (2, None), (3, "no heading")], "id int, t string")
     rows = chunking.hierarchy(df, "id", "t").collect()
     by = {r["chunk_id"]: r for r in rows}
     assert len(by) == len(rows) and {r["level"] for r in rows} == {"l1", "l2", "l3"}
