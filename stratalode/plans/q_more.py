@@ -8,9 +8,10 @@ from ..operators import code, documents, facts, ingest, retrieval, search
 from ..session import table
 from ..sources import seams
 from .q_code import _DEF, _files
-from .q_ingest import _CHUNKS, EXT, PRESENT
+from .q_chunks import _H
+from .q_ingest import _CHUNKS, _LANG, EXT, PRESENT
 from .q_memory import _M
-from .q_retrieval import QUESTION, _chunks, _query, _scored
+from .q_retrieval import _C, QUESTION, _chunks, _query, _scored
 
 
 def _docs(spark, d):
@@ -238,6 +239,75 @@ def k12_architecture(spark, d):
     return f.groupBy("repo", F.substring_index("repo_relative_path", "/", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum(F.size(F.split(t, "\n"))).alias("lines"))
 
 
+def h6_titles(spark, d):
+    """The title of a page: its title element, else its first heading."""
+    t = F.trim(F.regexp_extract("content", r"(?is)<title[^>]*>([^<]*)</title>", 1))
+    h = F.trim(F.regexp_extract("content", r"(?is)<h[1-6][^>]*>([^<]*)</h[1-6]>", 1))
+    return table(spark, d, "chunks").dropDuplicates(["id"]).where("content like '%<%'").select("id", F.when(t != "", t).otherwise(h).alias("title"))
+
+
+def i3_full_crawl(spark, d):
+    """Sources whose last ingest is seven days or more before the newest of all: due for a full run."""
+    docs = table(spark, d, "documents")
+    newest = docs.agg(F.max("ingested_at").alias("m")).first()["m"]
+    return docs.where("source is not null").groupBy("source").agg(F.max("ingested_at").alias("last")).select("source", (F.datediff(F.lit(newest), F.col("last")) >= 7).alias("due"))
+
+
+def g10_cards(spark, d):
+    """A card of each repository without a model: languages, files, bytes, documents."""
+    f = ingest.present(table(spark, d, "files"))
+    lang = facts.language_of(F.col("repo_relative_path"), F.lower(F.trim("kind")))
+    return f.select("repo", "bytes", lang.alias("language"), F.lower(F.trim("kind")).alias("k")).groupBy("repo").agg(
+        F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("k") == "doc").alias("documents"))
+
+
+def r2_naive(spark, d):
+    """Plain retrieval: the best of all levels by cosine."""
+    return retrieval.top_k(_scored(spark, d), 10, "id").select("id", "score")
+
+
+def v9_information_gain(spark, d):
+    """Uncertainty of a question alone less that with its passage, by the offline stand-in."""
+    from ..functions import vector as V
+
+    e = table(spark, d, "eval_items")
+    return e.select("item_id", F.round(V.heuristic_uncertainty(F.col("question")) - V.heuristic_uncertainty(F.concat_ws(" ", "question", "passage")), 6).alias("gain"))
+
+
+def t25_categories(spark, d):
+    """arXiv-style category marks of documents, each once."""
+    c = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(r"\[((?:cs|math|stat|physics|q-bio|econ|eess)\.[A-Z]{2})\]"), F.lit(1)))
+    return _docs(spark, d).select("doc_id", F.size(c).alias("categories"))
+
+
+def d6_headings(spark, d):
+    """Headings of documents, each text once per document, with the first line that has it."""
+    from ..operators import chunking
+
+    h = chunking.headings(_docs(spark, d), "doc_id", F.col("text"))
+    return h.groupBy("doc", F.lower("title").alias("title")).agg(F.min("line_no").alias("first_line"))
+
+
+def f19_paths(spark, d):
+    """Whether a path stays inside its root once its dots are resolved."""
+    return ingest.present(table(spark, d, "files")).select("path", (~F.col("path").rlike(r"(^|/)\.\.(/|$)|^/|\\|\x00")).alias("safe"))
+
+
+def w16_first_links(spark, d):
+    """The first 20 addresses of all documents by order of address."""
+    from ..operators import chunking
+
+    return chunking.llms_links(_docs(spark, d), "doc_id", F.col("text")).select("url").distinct().orderBy("url").limit(20)
+
+
+def u3_first_type(spark, d):
+    """Contents over the coarse levels, each with the first type that has it and that type's count."""
+    m = F.col("metadata")
+    c = table(spark, d, "chunks").dropDuplicates(["id"]).where(m["source_type"].isin("overview", "repocard"))
+    g = c.groupBy(m["bundle_id"].alias("content"), m["source_type"].alias("type")).agg(F.count("*").alias("n"))
+    return g.groupBy("content").agg(F.min(F.struct("type", "n")).alias("x")).select("content", "x.type", "x.n")
+
+
 _meta = lambda p, pre: f"CASE WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{pre}' || regexp_replace(regexp_replace(regexp_extract(text, '{p}', 1), '[.,;:)\\]]+$', ''), '\\.git$', '') END"
 _PF = PRESENT + ", cf AS (SELECT * FROM pf WHERE kind = 'code')"
 _ASG = _PF + """, al AS (SELECT path, unnest(string_split(body, chr(10))) AS line FROM cf WHERE text IS NOT NULL),
@@ -252,7 +322,8 @@ UNION ALL SELECT bundle_id, 'use_case', nth - 1, concat_ws(chr(10), concat_ws('
 QUERIES = {f.__name__: f for f in (
     t10_pages, t14_wrapped, h5_markdown, t26_metadata, t31_model_json, a11_doc_types, a11_project_types, k15_purposes, k15_assignments, k15_patterns, k16_examples, c16_card_chunks, a4_card_stats,
     f13_functions, w7_top_definitions, w15_second_page, g5_entry_points, g2_outline, embed_offline, r13_answer, r14_pipeline, r15_new_content, r18_entities, v2_scores, x5_context,
-    c12_hierarchy, c12_parents_exist, t11_html_cells, t22_resolve, k8_missing_breaks, x7_modal_search, f7_memory_filter, j5_changed_in_sitemap, g9_repo_quality, k12_architecture)}
+    c12_hierarchy, c12_parents_exist, t11_html_cells, t22_resolve, k8_missing_breaks, x7_modal_search, f7_memory_filter, j5_changed_in_sitemap, g9_repo_quality, k12_architecture,
+    h6_titles, i3_full_crawl, g10_cards, r2_naive, v9_information_gain, t25_categories, d6_headings, f19_paths, w16_first_links, u3_first_type)}
 ORACLES = {
     "t10_pages": """WITH l AS (SELECT doc_id AS doc, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc, n, nullif(regexp_extract(line, '(?i)^(?:#{1,6}\\s*page\\s+|page\\s+|---\\s*page\\s+)(\\d+)(?:\\s*---)?\\s*$', 1), '')::INT AS p FROM l)
@@ -282,6 +353,23 @@ SELECT label, round(avg(score), 6) AS mean_score, round(max(score), 6) AS best_s
     "t11_html_cells": f"""WITH {_CHUNKS}, t AS (SELECT id, unnest(regexp_extract_all(content, '(?is)<table[^>]*>(.*?)</table>', 1)) AS t, generate_subscripts(regexp_extract_all(content, '(?is)<table[^>]*>(.*?)</table>', 1), 1) - 1 AS tbl FROM ck),
 r AS (SELECT id, tbl, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS r, generate_subscripts(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1), 1) - 1 AS row FROM t)
 SELECT id, tbl, row, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(c, '<[^>]*>', '', 'g'), ' ')), ' | ') AS cells FROM r""",
+    "h6_titles": f"""WITH {_CHUNKS}, x AS (SELECT id, trim(regexp_extract(content, '(?is)<title[^>]*>([^<]*)</title>', 1), ' ') AS t, trim(regexp_extract(content, '(?is)<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), ' ') AS h FROM ck WHERE content LIKE '%<%')
+SELECT id, CASE WHEN t <> '' THEN t ELSE h END AS title FROM x""",
+    "i3_full_crawl": """SELECT source, date_diff('day', max(ingested_at)::DATE, (SELECT max(ingested_at)::DATE FROM documents)) >= 7 AS due FROM documents WHERE source IS NOT NULL GROUP BY source""",
+    "g10_cards": f"""WITH {PRESENT}, x AS (SELECT repo, kind, bytes, {EXT.format('rel')} AS e FROM pf), y AS (SELECT repo, kind, bytes, {_LANG} AS language FROM x)
+SELECT repo, coalesce(array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ', '), '') AS languages, count(*) AS files, sum(bytes)::BIGINT AS bytes, count(*) FILTER (kind = 'doc') AS documents FROM y GROUP BY repo""",
+    "r2_naive": "WITH " + _C + "SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 10",
+    "v9_information_gain": """WITH p AS (SELECT item_id, lower(question) AS a, lower(concat_ws(' ', question, passage)) AS b FROM eval_items),
+n AS (SELECT item_id, CASE WHEN regexp_matches(a, 'random|creative|guess|story') THEN 0.8 WHEN regexp_matches(a, '1\\+1|capital of france|say "yes" or "no"|exact sequence') THEN 0.12 ELSE 0.45 END AS x,
+  CASE WHEN regexp_matches(b, 'random|creative|guess|story') THEN 0.8 WHEN regexp_matches(b, '1\\+1|capital of france|say "yes" or "no"|exact sequence') THEN 0.12 ELSE 0.45 END AS y FROM p)
+SELECT item_id, round((x - y)::DOUBLE, 6) AS gain FROM n""",
+    "t25_categories": "SELECT doc_id, len(list_distinct(regexp_extract_all(substr(text, 1, 2000), '\\[((?:cs|math|stat|physics|q-bio|econ|eess)\\.[A-Z]{2})\\]', 1))) AS categories FROM documents WHERE text IS NOT NULL",
+    "d6_headings": f"WITH {_H} SELECT doc, lower(title) AS title, min(line_no) AS first_line FROM hd GROUP BY ALL",
+    "f19_paths": f"WITH {PRESENT} SELECT path, NOT regexp_matches(path, '(^|/)\\.\\.(/|$)|^/|\\\\|\\x00') AS safe FROM pf",
+    "w16_first_links": """SELECT DISTINCT regexp_replace(regexp_replace(u, '#.*$', ''), '[.,;:]+$', '') AS url FROM
+  (SELECT unnest(regexp_extract_all(text, '(https?://[^\\s\\])>"'']+)', 1)) AS u FROM documents WHERE text IS NOT NULL) ORDER BY url LIMIT 20""",
+    "u3_first_type": f"""WITH {_CHUNKS}, g AS (SELECT m.bundle_id AS content, m.source_type AS type, count(*) AS n FROM ck WHERE m.source_type IN ('overview', 'repocard') GROUP BY ALL)
+SELECT content, min_by(type, type) AS type, min_by(n, type) AS n FROM g GROUP BY content""",
     "c12_parents_exist": "SELECT '' AS parent_id, '' AS chunk_id WHERE false",
     "f7_memory_filter": f"WITH {_M} SELECT doc_id, layer FROM m WHERE user_id = 'kestrel-lab/handbook' AND type = 'relation' AND created_ms >= 1730000000000",
     "j5_changed_in_sitemap": "SELECT doc_id FROM documents WHERE updated_at IS NULL OR updated_at > ingested_at",
