@@ -114,6 +114,14 @@ def test_near_duplicates_against_brute_force(spark, near_rows):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_keys_do_not_depend_on_the_batch(near_rows):
+    words = neardup.Words()
+    texts = [t for _, t in near_rows] + ["again and again and again and again and again and again and so on to the end of it " * 3]
+    who, keys = neardup.keys_of(texts, words)
+    for i, t in enumerate(texts):
+        assert sorted(keys[who == i].tolist()) == sorted(neardup.keys_of([t], words)[1].tolist())
+
+
 def test_hot_keys_are_compared_in_blocks(spark, near_rows, monkeypatch):
     rng = random.Random(6)
     base = [f"h{i}" for i in range(60)]
