@@ -5,7 +5,7 @@ first). One sketch entry takes the ``ell`` k-mers of least hash and keeps them i
 the text, so that it is sensitive to edits and order, not only to the set. Two records are candidates if any entry
 agrees. Three families cover all lengths (sizes are counts of shingles of three words):
 
-* long  (more than 24):  k = 5, ell = 2, 40 entries;
+* long  (more than 24):  k = 5, ell = 2, 48 entries;
 * short (up to 48):      k = 3, ell = 3, 48 entries; the families overlap by the factor that a similarity of one half
   allows between two sizes, so that a pair always has a family in common;
 * tiny  (up to 6):       every shingle is a key.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
 
-K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 40
+K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 48
 K_SHORT, ELL_SHORT, ENTRIES_SHORT = 3, 3, 48
 SHORT, LONG, TINY = 48, 24, 6
 RUN, BLOCK = 128, 512
