@@ -114,13 +114,17 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     back = np.full(len(at), -1)
     first = at <= limit
     total[first] = penalty[first] + PER_PIECE + BALANCE * ((at[first] - overlap - mean) / mean) ** 2
-    lows = np.searchsorted(at, at - stride)
-    for i in range(len(at)):
-        lo = lows[i]
+    lows = np.searchsorted(at, at - stride).tolist()
+    weight, aim, place = BALANCE / mean**2, (at - mean).tolist(), at.astype(float)
+    buffer = np.empty(len(at))
+    for i, (lo, c) in enumerate(zip(lows, (penalty + PER_PIECE).tolist())):
         if lo < i:
-            cost = total[lo:i] + BALANCE * ((at[i] - at[lo:i] - mean) / mean) ** 2
-            k = int(np.argmin(cost))
-            c = cost[k] + penalty[i] + PER_PIECE
+            cost = np.subtract(aim[i], place[lo:i], out=buffer[: i - lo])  # in place: the window is short, calls are what costs
+            np.multiply(cost, cost, out=cost)
+            np.multiply(cost, weight, out=cost)
+            np.add(cost, total[lo:i], out=cost)
+            k = int(cost.argmin())
+            c += cost[k]
             if c < total[i]:
                 total[i], back[i] = c, lo + k
     if not np.isfinite(total[-1]):  # one glued run longer than a window: cut it by length
