@@ -46,10 +46,11 @@ _TOP = np.uint64(2**64 - 1)
 def mix(x: np.ndarray) -> np.ndarray:
     """A published 64-bit finaliser (fixed constants)."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)  # in place from here on: x is this function's own
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def _seed(n: int) -> np.uint64:
@@ -113,7 +114,9 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int,
     at = place.astype(np.uint64) & low
     out = np.empty((len(sizes), entries), dtype=np.uint64)
     for t in range(entries):
-        v = (mix(kmer ^ _seed(family * 1000 + t + 1)) & ~low) | at
+        v = mix(kmer ^ _seed(family * 1000 + t + 1))
+        v &= ~low
+        v |= at
         chosen = np.empty((len(sizes), ell), dtype=np.int64)
         for i in range(ell):
             least = np.minimum.reduceat(v, starts)
