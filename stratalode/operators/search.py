@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,7 @@ def write_index(lines: DataFrame, root: str) -> None:
     postings.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")).repartition(BUCKETS, "bucket").sortWithinPartitions(
         "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
     lengths.write.mode("overwrite").parquet(f"{root}/lengths")
+    lengths.sparkSession.read.parquet(f"{root}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
 
 
 def read_postings(spark: SparkSession, root: str, terms: list[str]) -> DataFrame:
@@ -107,6 +109,26 @@ def bm25(lines: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFram
     return freq.where(hit).select("path", "line_no", (-score).alias("score"))
 
 
+def bm25_indexed(spark: SparkSession, root: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """As :func:`bm25` for single-term tokens, from the durable index: only the buckets of the query's terms are read.
+
+    Document frequencies are aggregates of the postings read; N and the average length are written with the index.
+    """
+    terms = sorted({t for p in query_terms(query) for t in p})
+    if not terms:
+        return spark.createDataFrame([], "path string, line_no int, score double")
+    postings, lengths = read_postings(spark, root, terms), spark.read.parquet(f"{root}/lengths")
+    stats = spark.read.parquet(f"{root}/stats").first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    df = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per query term
+    if not df:
+        return spark.createDataFrame([], "path string, line_no int, score double")
+    idf = F.element_at(F.create_map(*[F.lit(x) for t, c in df.items() for x in (t, math.log(1 + (n - c + 0.5) / (c + 0.5)))]), F.col("term"))
+    rows = postings.join(lengths, ["path", "line_no"])
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return rows.groupBy("path", "line_no").agg((-F.sum(part)).alias("score"))
+
+
 def top(hits: DataFrame, k: int) -> DataFrame:
     """The best k lines, ties by path and line."""
     return hits.orderBy("score", "path", "line_no").limit(k)
@@ -150,19 +172,32 @@ def enclosing(lines: DataFrame, reach: int = 50) -> DataFrame:
     return lines.select("path", "line_no", F.last(f, True).over(w).alias("function"), F.last(c, True).over(w).alias("class"))
 
 
-def block_ends(lines: DataFrame) -> DataFrame:
-    """(path, line_no, end_line): for lines that open a brace block, the first later line at which it is balanced, within 100.
-
-    The running balance is a window sum; the end is the first following line of no greater balance, found by a bounded frame.
+def block_ends(files: DataFrame, reach: int = 100) -> DataFrame:
+    """(path, line_no, end_line): for lines that open more brace blocks than they close, the first line within ``reach`` at which
+    the balance is back, null where there is none. From (path, text): a fold per file, a narrow map without any shuffle.
     """
-    opens = F.regexp_count("content", F.lit(r"\{"))
-    closes = F.regexp_count("content", F.lit(r"\}"))
-    w = Window.partitionBy("path").orderBy("line_no")
-    base = lines.select("path", "line_no", opens.alias("o"), (opens - closes).alias("delta")).withColumn("depth", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = F.collect_list(F.struct("line_no", "depth")).over(w.rowsBetween(1, 100))
-    level = F.col("depth") - F.col("delta")
-    end = F.array_min(F.transform(F.filter("ahead", lambda x: x["depth"] <= level), lambda x: x["line_no"]))
-    return base.withColumn("ahead", ahead).where("o > 0 and delta > 0").select("path", "line_no", end.alias("end_line"))
+    from .ingest import normal_text
+
+    rows = files.where("path is not null and text is not null").select("path", normal_text(F.col("text")).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            paths, numbers, ends = [], [], []
+            for path, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                depth, level = [], 0
+                deltas = [x.count("{") - x.count("}") for x in t.split("\n")]
+                for d in deltas:
+                    level += d
+                    depth.append(level)
+                for i, d in enumerate(deltas):
+                    if d > 0:
+                        before = depth[i] - d
+                        paths.append(path)
+                        numbers.append(i + 1)
+                        ends.append(next((k + 1 for k in range(i + 1, min(len(depth), i + 1 + reach)) if depth[k] <= before), None))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int32()), pa.array(ends, pa.int32())], names=["path", "line_no", "end_line"])
+
+    return rows.mapInArrow(run, "path string, line_no int, end_line int")
 
 
 # Negation and affirmation words (fixed values).

@@ -27,6 +27,17 @@ def x3_phrases(spark, d):
     return search.bm25(_lines(spark, d), PHRASE_QUERY).withColumn("score", F.round("score", 6))
 
 
+def x3_indexed(spark, d):
+    """The same ranking from the durable inverted index."""
+    import uuid
+
+    from ..session import shared_dir
+
+    root = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    search.write_index(_lines(spark, d), root)
+    return search.bm25_indexed(spark, root, QUERY).withColumn("score", F.round("score", 6))
+
+
 def w1_top_lines(spark, d):
     hits = search.bm25(_lines(spark, d), QUERY).withColumn("score", F.round("score", 6))
     return search.top(hits, 20)
@@ -61,7 +72,7 @@ def w11_enclosing(spark, d):
 
 
 def w12_block_ends(spark, d):
-    return search.block_ends(_lines(spark, d).where("kind = 'code'"))
+    return search.block_ends(ingest.present(table(spark, d, "files")).where("lower(trim(kind)) = 'code'"))
 
 
 def w10_excerpt(spark, d):
@@ -163,10 +174,11 @@ _FN = search._FUNCTION.replace("'", "''")
 _CL = search._CLASS.replace("'", "''")
 
 QUERIES = {f.__name__: f for f in (
-    x3_bm25, x3_phrases, w1_top_lines, x4_grouped, a2_token_saving, x4_code_only, w9_surrounding, w11_enclosing, w12_block_ends, w10_excerpt,
+    x3_bm25, x3_phrases, x3_indexed, w1_top_lines, x4_grouped, a2_token_saving, x4_code_only, w9_surrounding, w11_enclosing, w12_block_ends, w10_excerpt,
     x6_search_and_read, x9_claim, v13_evidence, t4_snippets, j1_keywords, x8_modal_index, a3_modal_stats)}
 ORACLES = {
     "x3_bm25": _BM + "SELECT path, line_no, score FROM hits",
+    "x3_indexed": _BM + "SELECT path, line_no, score FROM hits",
     "x3_phrases": _bm(search.query_terms(PHRASE_QUERY)) + "SELECT path, line_no, score FROM hits",
     "w1_top_lines": _BM + "SELECT path, line_no, score FROM hits ORDER BY score, path, line_no LIMIT 20",
     "x4_grouped": _BM + _GROUP + " SELECT path, hit_count, hit_lines, b.s AS best_score, b.l AS best_line FROM g",

@@ -104,6 +104,9 @@ def test_index_round_trip(spark, tmp_path):
     search.write_index(lines, str(tmp_path / "ix"))
     got = {(r["term"], r["path"], r["tf"]) for r in search.read_postings(spark, str(tmp_path / "ix"), ["alpha"]).collect()}
     assert got == {("alpha", "a", 2)}
+    a, b = search.bm25_indexed(spark, str(tmp_path / "ix"), "alpha beta").collect(), search.bm25(lines, "alpha beta").collect()
+    assert sorted((r["path"], round(r["score"], 9)) for r in a) == sorted((r["path"], round(r["score"], 9)) for r in b)
+    assert search.bm25_indexed(spark, str(tmp_path / "ix"), "none here").count() == 0
 
 
 def test_memory_gate_and_merge(spark):
