@@ -25,6 +25,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def walk(root: Node):
             if not isinstance(c, str):
                 p = f"{path}/{c.label}"
                 style = ",".join(x.label for x in c.children if not isinstance(x, str))
-                yield p, style, " ".join(c.text().split())[:2000], c
+                yield p, style, " ".join(c.text().split()), c
                 stack.append((c, p))
 
 
@@ -410,20 +411,21 @@ def clean_markup(
     def elements(batches):
         for b in batches:
             hosts, pages, paths, styles, contents = [], [], [], [], []
+            sign = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
             for page, text, h in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if _TAG.search(text):
                     for path, style, words, _ in walk(parse(text)):
                         hosts.append(h)
                         pages.append(page)
                         paths.append(path)
-                        styles.append(style)
-                        contents.append(words)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, pages, paths, styles, contents)],
+                        styles.append(sign(style))
+                        contents.append(sign(words))
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in (hosts, pages, paths)], *[pa.array(x, pa.int64()) for x in (styles, contents)]],
                                              names=["host", "page", "path", "style", "content"])
 
     tagged = rows.where(~F.col("is_code") & F.col("content").contains("<") & F.col("content").contains(">"))
-    nodes = tagged.select("id", "content", "host").mapInArrow(elements, "host string, page string, path string, style string, content string")
-    compact = nodes.select("host", "page", "path", F.xxhash64("style").alias("style"), F.xxhash64("content").alias("content"))
+    # whole contents and styles, by their hashes
+    compact = tagged.select("id", "content", "host").mapInArrow(elements, "host string, page string, path string, style bigint, content bigint")
     tree = style_tree(compact)
     low = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path")
     high = tree.where((F.col("pages") < min_pages) | (F.col("importance") >= threshold)).select("host", F.col("path").alias("inner"))

@@ -193,7 +193,7 @@ def top_key(text: str) -> str | None:
     line = text.split("\n", 1)[0]
     if not line.strip() or _NUMBER_LINE.match(line):
         return None
-    return " ".join(fold(w) for w in without_number(line)[0].split())[:300]
+    return " ".join(fold(w) for w in without_number(line)[0].split())
 
 
 HEADER, TOP, BODY, BREAK, BOTTOM = range(5)
@@ -482,7 +482,7 @@ def scan_noise(
         F.col("id").alias("ending"), "paper", (F.col("page") + 1).alias("page"))
     # one row per page number, combined before the shuffle, so that a number that many rows share meets each ending once
     heads = marked.where("page is not null").groupBy("paper", "page").agg(
-        F.min(F.struct("id", F.substring("content", 1, 600).alias("head"), "is_top")).alias("x"))
+        F.min(F.struct("id", F.substring_index("content", "\n", 6).alias("head"), "is_top")).alias("x"))
     nexts = open_ended.join(heads, ["paper", "page"]).select(F.col("ending").alias("id"), F.col("x.head").alias("head"), F.col("x.is_top").alias("head_top"))
     wide = marked.join(nexts, "id", "left")
 

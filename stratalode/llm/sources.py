@@ -104,8 +104,7 @@ class NameModel:
 
 
 def trigrams(name: str) -> list[str]:
-    """Of at most 64 characters of one identifier: a blob that looks like one counts as often as a long name."""
-    s = "^^" + _SAFE.sub("_", name[:64].lower()) + "."
+    s = "^^" + _SAFE.sub("_", name.lower()) + "."
     return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
 
