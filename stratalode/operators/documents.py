@@ -255,11 +255,11 @@ def config_patterns(keys: DataFrame) -> DataFrame:
 TRIVIAL = r"\b(?:Mock|MagicMock)\(\)|(?:jest|vi)\.fn\(\)|sinon\.(?:stub|spy)\(\)|assertTrue\(True\)|assertFalse\(False\)|\bpass\b|\bTODO\b|\bFIXME\b|\bXXX\b|\(\) => \{\}|lambda: None"
 
 
-def examples(defs_text: DataFrame, least: int = 40, most_per_category: int = 50) -> DataFrame:
-    """(path, category, code, complexity, hash): code blocks worth showing, without trivial ones and copies, the simplest first, capped per category.
+def examples(defs_text: DataFrame, least: int = 20, most_per_category: int = 0) -> DataFrame:
+    """(path, category, code, complexity, hash): code blocks worth showing, without trivial ones and copies.
 
-    From (path, code). The cap is a limit per category that each task applies before the shuffle; trivial is a token test, so words
-    that merely contain one of the tokens stay.
+    From (path, code). ``most_per_category`` keeps only the simplest of each category, 0 all of them; the limit is one that each task
+    applies before the shuffle. Trivial is a token test, so words that merely contain one of the tokens stay.
     """
     cat = (
         F.when(F.col("code").rlike(r"\bassert|expect\("), "assertion").when(F.col("code").rlike(r"(?i)\b(config|settings|options)\b"), "configuration")
@@ -270,8 +270,10 @@ def examples(defs_text: DataFrame, least: int = 40, most_per_category: int = 50)
     base = defs_text.where((F.length("code") >= least) & ~F.col("code").rlike(TRIVIAL)).select(
         "path", cat.alias("category"), "code", F.round(F.least(F.lit(1.0), 0.1 * lines + 0.05 * (commas + 1)), 6).alias("complexity"), F.substring(F.md5("code"), 1, 8).alias("hash"))
     once = base.groupBy("hash", "category").agg(F.min(F.struct("path", "code", "complexity")).alias("x")).select("hash", "category", "x.*")
-    w = Window.partitionBy("category").orderBy("complexity", "hash")
-    return once.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most_per_category).select("path", "category", "code", "complexity", "hash")
+    if most_per_category > 0:
+        w = Window.partitionBy("category").orderBy("complexity", "hash")
+        once = once.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most_per_category)
+    return once.select("path", "category", "code", "complexity", "hash")
 
 
 def card_chunks(cards: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -41,6 +41,13 @@ def test_examples_skip_trivial_tokens_only(spark):
     assert [(r["path"], r["category"]) for r in got] == [("a", "assertion")]
 
 
+def test_examples_are_all_kept(spark):
+    rows = [(f"p{i}", f"run job{i} --now --again --and --again") for i in range(60)] + [("s", "run x ".ljust(20, "-"))]
+    df = spark.createDataFrame(rows + [("t", "run y ".ljust(19, "-"))], "path string, code string")
+    assert {r["path"] for r in documents.examples(df).collect()} == {p for p, _ in rows}
+    assert documents.examples(df, most_per_category=5).count() == 5
+
+
 def test_read_tree(spark, tmp_path):
     for p, b in (("src/a.py", b"x = 1\r\n"), ("README.md", b"\xef\xbb\xbfhello"), ("node_modules/m.js", b"no"), ("bin.dat", b"a\0b"), ("latin.txt", b"caf\xe9"), ("big.txt", b"y" * 600_000)):
         f = tmp_path / p
