@@ -122,16 +122,19 @@ def cycles(edges: DataFrame, longest: int = MAX_CYCLE) -> DataFrame:
     return out.distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 20) -> DataFrame:
-    """(path, distance) from a set of starts; breadth first, one join per level."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(path, distance) from a set of starts; breadth first, one join per level, until a level finds nothing new."""
+    edges = checkpoint(edges.select("src", "dst"))
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = checkpoint(starts.select("path").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
-    for k in range(1, rounds + 1):
+    frontier, k = seen, 0
+    while True:
+        k += 1
         nxt = frontier.join(edges.withColumnRenamed("src", "path"), "path").select(F.col("dst").alias("path")).distinct().join(seen, "path", "left_anti")
         frontier = checkpoint(nxt.withColumn("distance", F.lit(k)))
         if frontier.isEmpty():
             break
-        seen = checkpoint(seen.unionByName(frontier))
+        seen = checkpoint(seen.unionByName(frontier).coalesce(most))  # else partitions grow with the levels
     return seen
 
 

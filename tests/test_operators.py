@@ -59,6 +59,12 @@ def test_reachable(spark):
     assert got == {"a": 0, "b": 1, "c": 2}
 
 
+def test_reachable_over_a_long_chain(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)], "src string, dst string")
+    got = {r["path"]: r["distance"] for r in code.reachable(df, spark.createDataFrame([("n0",)], "path string")).collect()}
+    assert got == {f"n{i}": i for i in range(25)}
+
+
 def test_python_checks(spark):
     src = 'def f(a, b, _c):\n    """Text.\n\n    :param a: x\n    :param q: y\n    """\n    z = 1\n    return a\n'
     files = spark.createDataFrame([("m.py", src), ("bad.py", "def ("), ("n.py", None), ("e.py", "")], "path string, text string")
