@@ -3,7 +3,9 @@
 A record's words give occurrence-labelled k-mers (the second occurrence of a k-mer is another element than the
 first). One sketch entry takes the ``ell`` k-mers of least hash and keeps them in the order in which they stand in
 the text, so that it is sensitive to edits and order, not only to the set. Two records are candidates if any entry
-agrees. Three families cover all lengths (sizes are counts of shingles of three words):
+agrees. A text that repeats k-mers gives a second sketch over their first occurrences only: similarity is one of sets, and
+for a text without repeats both sketches are the same. Three families cover all lengths (sizes are numbers of different
+shingles of three words):
 
 * long  (more than 24):  k = 5, ell = 2, 48 entries;
 * short (up to 48):      k = 3, ell = 3, 48 entries; the families overlap by the factor that a similarity of one half
@@ -93,7 +95,10 @@ def _kmers(flat: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int, family: int):
-    """[texts, entries] keys of texts that have at least ell k-mers each; flat holds their words."""
+    """(text, key) of texts that have at least ell different k-mers each; flat holds their words.
+
+    Every text has one key per entry; one that repeats k-mers has also those keys of its first occurrences that differ.
+    """
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(flat)) - np.repeat(starts, sizes)
@@ -101,7 +106,6 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int,
     real = place < np.repeat(sizes - k + 1, sizes)
     kmer, text, place = kmer[real], text[real], place[real]
     counts = sizes - k + 1
-    starts = np.r_[0, np.cumsum(counts)[:-1]]
     # occurrence labels
     order = np.lexsort((place, kmer, text))
     same = np.r_[False, (kmer[order][1:] == kmer[order][:-1]) & (text[order][1:] == text[order][:-1])]
@@ -110,31 +114,60 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int,
     label = np.empty(len(order), dtype=np.uint64)
     label[order] = nth.astype(np.uint64)
     kmer = mix(kmer + label * np.uint64(0x9E3779B97F4A7C15))
+    out = _entries(kmer, counts, ell, entries, family)
+    who, keys = np.repeat(np.arange(len(sizes)), entries), out.ravel()
+    firsts = np.bincount(text[label == 0], minlength=len(sizes))
+    again = np.flatnonzero(firsts < counts)
+    if len(again):
+        kept = (label == 0) & (firsts < counts)[text]
+        more = _entries(kmer[kept], firsts[again], ell, entries, family)
+        row, entry = np.nonzero(more != out[again])
+        who, keys = np.r_[who, again[row]], np.r_[keys, more[row, entry]]
+    return who, keys
+
+
+def _entries(kmer: np.ndarray, counts: np.ndarray, ell: int, entries: int, family: int) -> np.ndarray:
+    """[texts, entries] keys; kmer holds the labelled k-mers of each text in text order."""
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
     low = np.uint64((1 << _POS) - 1)
-    at = place.astype(np.uint64) & low
-    out = np.empty((len(sizes), entries), dtype=np.uint64)
+    at = (np.arange(len(kmer)) - np.repeat(starts, counts)).astype(np.uint64) & low
+    out = np.empty((len(counts), entries), dtype=np.uint64)
     for t in range(entries):
         v = mix(kmer ^ _seed(family * 1000 + t + 1))
         v &= ~low
         v |= at
-        chosen = np.empty((len(sizes), ell), dtype=np.int64)
+        chosen = np.empty((len(counts), ell), dtype=np.int64)
         for i in range(ell):
             least = np.minimum.reduceat(v, starts)
             chosen[:, i] = starts + (least & low).astype(np.int64)
             v[chosen[:, i]] = _TOP
         chosen.sort(axis=1)  # text order
-        key = np.full(len(sizes), _seed(family * 1000 + 500 + t), dtype=np.uint64)
+        key = np.full(len(counts), _seed(family * 1000 + 500 + t), dtype=np.uint64)
         for i in range(ell):
             key = mix(key + kmer[chosen[:, i]])
         out[:, t] = key
     return out
 
 
+def _different(hashed: list[np.ndarray], sizes: np.ndarray, n: int = 3) -> np.ndarray:
+    """Number of different shingles of each text."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    if not len(sizes):
+        return out
+    kmer = _kmers(np.concatenate(hashed), n)
+    for i, end in enumerate(np.cumsum(sizes)):
+        s = kmer[end - sizes[i] : end - n + 1] if sizes[i] >= n else kmer[:0]
+        if len(s):
+            s.sort()
+            out[i] = 1 + np.count_nonzero(s[1:] != s[:-1])
+    return out
+
+
 def keys_of(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, key) of every sketch entry."""
     hashed = [words.hashes(t) for t in texts]
     sizes = np.array([len(h) for h in hashed], dtype=np.int64)
-    shingles = sizes - 2
+    shingles = _different(hashed, sizes)
     who, keys = [], []
     for family, (k, ell, entries, pick) in enumerate(
         ((K_LONG, ELL_LONG, ENTRIES_LONG, shingles > LONG),
@@ -142,9 +175,9 @@ def keys_of(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
     ):
         idx = np.flatnonzero(pick)
         if len(idx):
-            out = _sketch(np.concatenate([hashed[i] for i in idx]), sizes[idx], k, ell, entries, family)
-            who.append(np.repeat(idx, entries))
-            keys.append(out.ravel())
+            text, key = _sketch(np.concatenate([hashed[i] for i in idx]), sizes[idx], k, ell, entries, family)
+            who.append(idx[text])
+            keys.append(key)
     for i in np.flatnonzero((shingles >= 1) & (shingles <= TINY)):
         s = mix(shingle_set(hashed[i]) ^ _seed(3))
         who.append(np.full(len(s), i))

@@ -122,6 +122,20 @@ def test_keys_do_not_depend_on_the_batch(near_rows):
         assert sorted(keys[who == i].tolist()) == sorted(neardup.keys_of([t], words)[1].tolist())
 
 
+@pytest.mark.parametrize("words,times", [(20, 3), (40, 2), (60, 5), (150, 3)])
+def test_a_paragraph_and_its_copies_share_a_key(words, times):
+    rng = random.Random(words)
+    for _ in range(20):
+        text = " ".join(f"w{rng.randrange(4000)}" for _ in range(words))
+        who, keys = neardup.keys_of([text, " ".join([text] * times)], neardup.Words())
+        assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+
+
+def test_equal_words_share_a_key():
+    who, keys = neardup.keys_of(["so " * 4, "so " * 10, "so " * 100], neardup.Words())
+    assert all(set(keys[who == i].tolist()) == set(keys[who == 0].tolist()) for i in (1, 2))
+
+
 def test_hot_keys_are_compared_in_blocks(spark, near_rows, monkeypatch):
     rng = random.Random(6)
     base = [f"h{i}" for i in range(60)]
