@@ -231,8 +231,9 @@ def unwritten(files: DataFrame) -> DataFrame:
     newest = Window.partitionBy("path").orderBy(F.col("updated_at").desc_nulls_last(), F.col("sha256").desc_nulls_last())
     present = checkpoint(seen.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn"))
     lines = present.select("path", "repo", "is_foreign", F.explode("lines").alias("line"))
-    stats = lines.groupBy("line").agg(
-        F.max("is_foreign").alias("any_foreign"), F.approx_count_distinct(F.coalesce("repo", F.lit(""))).alias("repos"))
+    # exact: the limits are small numbers; both steps combine in each task first
+    by_repo = lines.groupBy("line", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("is_foreign").alias("is_foreign"))
+    stats = by_repo.groupBy("line").agg(F.max("is_foreign").alias("any_foreign"), F.count("*").alias("repos"))
     # lines of one file only tell nothing and do not come back
     stats = stats.where((F.col("repos") > 1) | F.col("any_foreign"))
     held = lines.select("path", "line").join(stats, "line").groupBy("path").agg(

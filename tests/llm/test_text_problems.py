@@ -152,6 +152,16 @@ def test_unwritten(spark):
     assert sources.unwritten(files(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_are_counted_by_repository_exactly(spark):
+    lines = [f"the ranks of group {i} stay in the order in which they came to us from reader {i}" for i in range(4)]
+    own = lambda n: "\n".join(lines + [f"const x{n} = {n};"])
+    two = ("web/paper-index", "kestrel-lab/amber-reader")  # alike for a sketch of 512 registers
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r/a/vendor/x.js", two[0], "code", "1", own(1), t), ("r/b/src/x.js", two[1], "code", "2", own(2), t)]
+    got = {r["path"]: r["kinds"] for r in sources.unwritten(files(spark, rows)).collect()}
+    assert got == {"r/a/vendor/x.js": ["vendored"], "r/b/src/x.js": ["vendored"]}
+
+
 D = pii.Detector()
 
 
