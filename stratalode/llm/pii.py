@@ -44,7 +44,7 @@ _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "f
                 "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4",
                 "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
 _SPELLED = re.compile(r"\b(?:(?:plus|double|triple|%s)\b[ -]?){7,30}" % "|".join(_DIGIT_WORDS), re.I)
-_SPELLED_HINT = re.compile(r"\b(?:zero|seven|null|sieben)\b", re.I)
+_CASELESS = str.maketrans("ſİı", "sii")  # what re.I takes for s and i besides S and I
 _AT = re.compile(r"[ \t]*(?:[\[({<][ \t]*(?:at|ät|arroba|arobase|a|@)[ \t]*[\])}>]|&#64;|&commat;|﹫)[ \t]*", re.I)
 _AT_HINTS = ("at]", "at)", "at}", "at>", "at ]", "at )", "arroba", "arobase", "(a)", "[a]", "[@]", "(@)", "&#64;", "&commat;", "﹫", "(ät)", "[ät]")
 _DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*", re.I)
@@ -87,7 +87,7 @@ class Mapped:
 
 def _spelled(m: re.Match) -> str:
     out, times = [], 1
-    for w in re.findall(r"\w+", m[0].lower()):
+    for w in re.findall(r"\w+", m[0].translate(_CASELESS).lower()):
         if w in ("double", "triple"):
             times = 2 if w == "double" else 3
         elif w == "plus":
@@ -106,9 +106,8 @@ def rewrite(text: str) -> Mapped:
             m.replace(_INVISIBLE, "")
         if _MIXED.search(m.text):
             m.text = _MIXED_WORD.sub(lambda x: x[0].translate(_LOOKALIKES), m.text)
+    m.replace(_SPELLED, _spelled)
     low = m.text.lower()
-    if any(w in low for w in ("zero", "seven", "null", "sieben")) and _SPELLED_HINT.search(low):
-        m.replace(_SPELLED, _spelled)
     if any(w in low for w in _AT_HINTS):
         m.replace(_AT, "@")
         m.replace(_DOT, ".")

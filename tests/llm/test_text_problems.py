@@ -165,6 +165,13 @@ def test_lines_are_counted_by_repository_exactly(spark):
 D = pii.Detector()
 
 
+@pytest.mark.parametrize("text", [
+    "plus four nine one five one two three four five six eight", "Plus Four Nine One Five One Two Three Four Five Six Eight",
+    "plus four nine oh five one two three four five ſix eight", "plus vier neun eins fünf eins zwei drei vier fünf sechs acht"])
+def test_spelled_numbers_without_zero_and_seven(text):
+    assert [(k, text[a:b]) for a, b, k in D.find(text)] == [("phone", text)]
+
+
 @pytest.mark.parametrize("text,want", [
     ("mail ann.lee@post.example now", [("email", "ann.lee@post.example")]), ("a.b [at] c [dot] example", [("email", "a.b [at] c [dot] example")]),
     ("write to ann at post dot example today", [("email", "ann at post dot example")]), ("аnn@pоst.example", [("email", "аnn@pоst.example")]),
