@@ -1,15 +1,22 @@
 """The k most similar vectors of every vector: a forest of random-projection trees, one shared priority queue per
 query over the leaves of all trees, and exact cosines of the candidates in the leaves that the queue yields.
 
-Plan: (1) trees are fitted on a bounded, documented sample (``sample`` vectors, chosen by a hash of the id); the split
-of a node is the difference of two sampled vectors, its threshold the node's median; the depth follows the row count
-so that a leaf holds about ``leaf`` vectors. (2) Each vector goes to its own leaf in every tree, and as a query to the
-``probes`` leaves of least total margin over all trees, its own ones included: a fixed number of copies per vector,
-whatever the number of rows. (3) One group per leaf compares its vectors exactly, in blocks, and keeps the best k of
-each id above ``floor``; a leaf far above its target is split further inside its group by trees of its own.
-(4) One shuffle by id keeps the best k over all leaves. No step sees more than a leaf or one id's candidates.
+Queue: a leaf costs the sum of the squared margins by which the query is on the wrong side of the splits above it. The
+leaves of all trees come out in order of cost until the next one costs more than ``budget``; branches dearer than that are
+cut on the way down, so no list of all leaves is ever made. A query's own leaves cost nothing.
 
-Measured against brute force over 96,600 vectors at 16 leaves: see the README for the recall (3 trees, 8 probes).
+Trees: the split of a node is the difference of two sampled vectors, its threshold the median. A leaf holds about ``leaf``
+vectors at every number of rows; only the depth follows it, at least ``LEAST`` levels. It is reached in stages of at most
+``STAGE`` levels: the first is fitted on a bounded, documented sample (``sample`` vectors, chosen by a hash of the id) and
+sent to the workers; each further stage fits one tree per cell of the stage before, on ``PER_LEAF`` vectors per new leaf, in
+the cluster, and meets its cell's rows in one sorted stream (tree first), so a cell is never held in memory and no model
+grows with the rows. The budget runs on through the stages: a forest in stages asks the same as one deep forest.
+
+Plan: one shuffle of (cell, id, vector) per stage, into partitions of bounded size; one group per leaf compares exactly, in
+blocks, and keeps the best k of each id above ``floor``; one shuffle by id keeps the best k over all leaves.
+
+Recall and copies against the depth, measured by brute force: see the README. Neighbours are lost only where the budget
+stops the queue; a greater ``budget`` is the way to any recall.
 
 Exact copies: of vectors with equal values only the ``k + 1`` smallest ids are indexed, since by the tie rule no
 other copy can be among anyone's k nearest; the other copies get their k smallest fellows (cosine 1) by a join.
@@ -28,90 +35,96 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 32768
+SAMPLE = 8192
+PER_LEAF = 16
 LEAF = 8192
+LEAST, STAGE = 5, 9
 TREES = 3
-PROBES = 8
+BUDGET = 0.002
 _BLOCK = 1024
+_PARTITION = 96 << 20  # bytes of routed rows
 
 
 # -- trees ------------------------------------------------------------------------------------------------------------
 
+Tree = list[tuple[np.ndarray, np.ndarray]]  # levels of (directions [2^d, dims], thresholds [2^d])
+
 
-def fit_tree(points: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels of (directions [2^d, dims], thresholds [2^d]). Of 8 random pairs the widest direction is taken."""
+def fit_tree(points: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+    """Of 16 random pairs of a node the widest direction is taken."""
     levels, nodes = [], [np.arange(len(points))]
+    dims = points.shape[1]
     for _ in range(depth):
         directions, cuts, below = [], [], []
         for idx in nodes:
-            best = None
-            for _ in range(8 if len(idx) > 1 else 1):
-                if len(idx) > 1:
-                    i, j = rng.choice(idx, 2, replace=False)
-                    w = points[i] - points[j]
-                else:
-                    w = rng.standard_normal(points.shape[1]).astype(np.float32)
-                size = float(np.linalg.norm(w))
-                if size < 1e-6:
-                    w = rng.standard_normal(points.shape[1]).astype(np.float32)
-                    size = float(np.linalg.norm(w))
-                w = w / size
-                p = points[idx] @ w if len(idx) else np.zeros(0, np.float32)
-                spread = float(p.std()) if len(p) else 0.0
-                if best is None or spread > best[0]:
-                    best = (spread, w, p)
-            _, w, p = best
-            cut = float(np.median(p)) if len(p) else 0.0
-            directions.append(w)
+            some = idx if len(idx) <= 1024 else rng.choice(idx, 1024, replace=False)
+            w = np.zeros((0, dims), np.float32)
+            if len(some) > 1:
+                i, j = rng.integers(0, len(some), (2, 16))
+                w = points[some[i]] - points[some[j]]
+                size = np.linalg.norm(w, axis=1)
+                w = w[size > 1e-6] / size[size > 1e-6][:, None]
+            if not len(w):
+                w = rng.standard_normal((1, dims)).astype(np.float32)
+                w /= np.linalg.norm(w)
+            seen = points[some] @ w.T
+            best = seen.std(axis=0).argmax() if len(some) else 0
+            cut = float(np.median(seen[:, best])) if len(some) else 0.0
+            right = points[idx] @ w[best] >= cut
+            directions.append(w[best])
             cuts.append(cut)
-            below += [idx[p < cut], idx[p >= cut]]
+            below += [idx[~right], idx[right]]
         levels.append((np.stack(directions).astype(np.float32), np.array(cuts, dtype=np.float32)))
         nodes = below
     return levels
 
 
-def leaf_costs(x: np.ndarray, tree: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """[n, leaves]: the sum of squared margins by which a vector is on the wrong side on the way to each leaf."""
-    cost = np.zeros((len(x), 1), dtype=np.float32)
-    for directions, cuts in tree:
-        p = x @ directions.T - cuts
-        low, high = np.where(p >= 0, p * p, 0), np.where(p < 0, p * p, 0)
-        cost = np.stack([cost + low, cost + high], axis=2).reshape(len(x), -1)
-    return cost
+def pack(tree: Tree) -> bytes:
+    return b"".join(np.concatenate([w, c[:, None]], axis=1).tobytes() for w, c in tree)
 
 
-def probe(x: np.ndarray, forest: list, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(own leaf per tree [n, trees], chosen leaves [n, probes]) as numbers over the whole forest.
+def unpack(blob: bytes, dims: int) -> Tree:
+    rows, levels, at = np.frombuffer(blob, dtype=np.float32).reshape(-1, dims + 1), [], 0
+    while at < len(rows):
+        n = 1 << len(levels)
+        levels.append((rows[at : at + n, :dims], rows[at : at + n, dims]))
+        at += n
+    return levels
 
-    All leaves of all trees stand in one queue by their cost; own leaves cost nothing and come first.
-    Deep trees are walked best-first level by level: a beam of the cheapest nodes, so that no row ever holds
-    the costs of more than ``beam`` nodes of a tree.
+
+def leaves_within(x: np.ndarray, tree: Tree, spent: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, cost) of every leaf whose cost, with what the row has spent before, is at most the budget.
+
+    The row's own leaf is the one that adds nothing.
     """
-    beam = 64
-    leaves = 1 << len(forest[0])
-    own, costs, numbers = [], [], []
+    row, node, cost = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), spent.astype(np.float32)
+    for directions, cuts in tree:
+        if len(directions) * len(x) <= 2 * len(row):  # few nodes: all margins at once
+            margin = (x @ directions.T - cuts)[row, node]
+        else:
+            margin = np.einsum("nd,nd->n", x[row], directions[node]) - cuts[node]
+        far = cost + margin * margin
+        go = far <= budget
+        right = (margin >= 0).astype(np.int64)
+        node = np.concatenate([2 * node + right, 2 * node[go] + 1 - right[go]])
+        row, cost = np.concatenate([row, row[go]]), np.concatenate([cost, far[go]])
+    return row, node, cost
+
+
+def route(x: np.ndarray, forest: list[Tree], budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf over the whole forest, cost, whether it is the row's own leaf), all trees in one queue."""
+    parts = []
     for t, tree in enumerate(forest):
-        node = np.zeros((len(x), 1), dtype=np.int64)
-        cost = np.zeros((len(x), 1), dtype=np.float32)
-        for directions, cuts in tree:
-            if len(directions) <= beam:
-                p = (x @ directions.T - cuts)[np.arange(len(x))[:, None], node]
-            else:
-                p = np.einsum("nd,nkd->nk", x, directions[node]) - cuts[node]
-            low, high = np.where(p >= 0, p * p, 0), np.where(p < 0, p * p, 0)
-            cost = np.concatenate([cost + low, cost + high], axis=1)
-            node = np.concatenate([2 * node, 2 * node + 1], axis=1)
-            if cost.shape[1] > beam:
-                keep = np.argpartition(cost, beam - 1, axis=1)[:, :beam]
-                cost, node = np.take_along_axis(cost, keep, 1), np.take_along_axis(node, keep, 1)
-        own.append(np.take_along_axis(node, np.argmin(cost, axis=1)[:, None], 1)[:, 0] + t * leaves)
-        costs.append(cost)
-        numbers.append(node + t * leaves)
-    cost, number = np.concatenate(costs, axis=1), np.concatenate(numbers, axis=1)
-    if probes < cost.shape[1]:
-        top = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
-        number = np.take_along_axis(number, top, 1)
-    return np.stack(own, axis=1), number
+        row, leaf, cost = leaves_within(x, tree, np.zeros(len(x), np.float32), budget)
+        parts.append((row, leaf + (t << len(tree)), cost, np.arange(len(row)) < len(x)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def stages(rows: int, leaf: int, stage: int = STAGE, least: int = LEAST) -> list[int]:
+    """Levels of each stage, about equal."""
+    depth = max(least, math.ceil(math.log2(max(1, rows) / leaf)))
+    n = math.ceil(depth / stage)
+    return [depth * (i + 1) // n - depth * i // n for i in range(n)]
 
 
 # -- exact comparison inside a leaf -------------------------------------------------------------------------------------
@@ -140,44 +153,6 @@ def _close(data: np.ndarray, queries: np.ndarray, floor: float) -> tuple[np.ndar
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def leaf_pairs(
-    data: np.ndarray, queries: np.ndarray, floor: float, leaf: int, trees: int, probes: int, seed: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`_close`; a leaf far above its target gets a forest of its own."""
-    if len(data) <= 4 * leaf:
-        return _close(data, queries, floor)
-    depth = math.ceil(math.log2(len(data) / leaf))
-    rng = np.random.default_rng(seed)
-    points = data[rng.choice(len(data), min(len(data), SAMPLE), replace=False)]
-    forest = [fit_tree(points, depth, rng) for _ in range(trees)]
-    n, every = len(data), np.concatenate([data, queries])
-    own, chosen = [], []
-    for s in range(0, len(every), 4096):
-        o, c = probe(every[s : s + 4096], forest, probes)
-        own.append(o)
-        chosen.append(c)
-    own, chosen = np.concatenate(own), np.concatenate(chosen)
-    out_i, out_j = [], []
-    total = trees << depth
-    data_of = np.argsort(own[:n].T.ravel(), kind="stable")
-    data_row = data_of % n
-    data_cut = np.searchsorted(own[:n].T.ravel()[data_of], np.arange(total + 1))
-    flat = chosen.ravel()
-    query_of = np.argsort(flat, kind="stable")
-    query_cut = np.searchsorted(flat[query_of], np.arange(total + 1))
-    for k in range(total):
-        d = data_row[data_cut[k] : data_cut[k + 1]]
-        if not len(d):
-            continue
-        q = query_of[query_cut[k] : query_cut[k + 1]] // chosen.shape[1]
-        q = np.setdiff1d(q, d)
-        i, j = _close(every[d], every[q], floor)
-        rows = np.concatenate([d, q])
-        out_i.append(rows[i])
-        out_j.append(rows[j])
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
 # -- plan -----------------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +167,65 @@ def _as_arrays(batch: pa.RecordBatch, col: int, dims: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float32)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+
+
+_ROUTED = "cell bigint, kind int, cost float, id string, x binary"
+
+
+def _batch(cell, own, cost, ids: pa.Array, x: pa.Array, row) -> pa.RecordBatch:
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cell, pa.int64()), pa.array(np.where(own, 1, 2).astype(np.int32)), pa.array(cost, pa.float32()), ids.take(take), x.take(take)],
+        names=["cell", "kind", "cost", "id", "x"])
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+def _next_stage(routed: DataFrame, depth: int, held: float, parts: int, dims: int, budget: float, seed: int) -> DataFrame:
+    """Routed rows (kind 1: data, 2: queries) of cells that hold about ``held`` data rows, routed through a tree per cell."""
+    share = min(1.0, PER_LEAF * (1 << depth) / max(1.0, held))
+    picked = routed.where((F.col("kind") == 1) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims)
+        cell = table.column("cell")[0].as_py()
+        x = x[np.lexsort(x.T[:4])]  # the order of arrival decides nothing
+        tree = fit_tree(x, depth, np.random.default_rng([seed, cell]))
+        return pa.table({"cell": pa.array([cell], pa.int64()), "kind": pa.array([0], pa.int32()), "cost": pa.array([0.0], pa.float32()),
+                         "id": pa.array([""], pa.string()), "x": pa.array([pack(tree)], pa.binary())})
+
+    trees = picked.groupBy("cell").applyInArrow(fit, _ROUTED)
+
+    def descend(batches):
+        cell, tree = None, []
+        for b in batches:
+            cells, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1, len(cells)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if a == z:
+                    continue
+                if cells[a] != cell:
+                    cell, tree = cells[a], []  # a cell without sampled rows stays one leaf
+                if kinds[a] == 0:
+                    tree = unpack(b.column(4)[int(a)].as_py(), dims)
+                    continue
+                for s in range(a, z, 4096):
+                    part = b.slice(s, min(4096, z - s))
+                    x = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.float32).reshape(-1, dims)
+                    row, leaf, cost = leaves_within(x, tree, part.column(2).to_numpy(), budget)
+                    own = (np.arange(len(row)) < len(x)) & (kinds[a] == 1)
+                    yield _batch((cell << depth) + leaf, own, cost, part.column(3), part.column(4), row)
+
+    return (
+        routed.unionByName(trees).repartition(parts, "cell").sortWithinPartitions("cell", "kind").mapInArrow(descend, _ROUTED)
+    )
+
+
 def nearest(
     df: DataFrame,
     *,
@@ -201,9 +235,11 @@ def nearest(
     k: int = 5,
     floor: float = -1.0,
     trees: int = TREES,
-    probes: int = PROBES,
+    budget: float = BUDGET,
     leaf: int = LEAF,
     sample: int = SAMPLE,
+    stage: int = STAGE,
+    least: int = LEAST,
     seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, cosine, place): up to k neighbours of cosine >= floor for every usable vector."""
@@ -226,60 +262,47 @@ def nearest(
         indexed = rest.select("id", "v").unionByName(first.select("id", "v"))
     else:
         indexed = base
-    depth = max(0, math.ceil(math.log2(max(1, rows) / leaf)))
-    depth = min(depth, max(0, int(math.log2(sample / 16))))
-    forest = [[] for _ in range(trees)]
-    if depth:
-        share = min(1.0, sample / rows)
-        picked = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
-        points = np.array([r for b in picked.select("v").toArrow().to_batches() for r in _as_arrays(b, 0, dims)])
-        if len(points) > 1:
-            points = points / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
-            rng = np.random.default_rng(seed)
-            forest = [fit_tree(points.astype(np.float32), depth, rng) for _ in range(trees)]
-    if not any(forest):
-        forest, trees_used, probes_used = [[]], 1, 1
-    else:
-        trees_used, probes_used = trees, probes
-
-    def route(batches):
+    levels = stages(rows, leaf, stage, least)
+    share = min(1.0, sample / max(1, rows))
+    picked = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
+    drawn = [_as_arrays(b, 0, dims) for b in picked.orderBy("id").select("v").toArrow().to_batches()]
+    points = _unit(np.concatenate(drawn)) if drawn else np.zeros((0, dims), np.float32)
+    rng = np.random.default_rng(seed)
+    forest = [fit_tree(points, levels[0], rng) for _ in range(trees)]
+    copies = len(route(points, forest, budget)[0]) / max(1, len(points))  # leaves that a vector visits
+    per_row = 4 * dims + 48
+    spark = df.sparkSession
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least_parts, math.ceil(rows * copies * per_row / _PARTITION))
+    shared = spark.sparkContext.broadcast(forest)
+
+    def enter(batches):
         for whole in batches:
             for s in range(0, whole.num_rows, 4096):
                 b = whole.slice(s, 4096)
-                if not b.num_rows:
-                    continue
-                x = _as_arrays(b, 1, dims).astype(np.float64)
-                x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-                n = len(x)
-                if forest[0]:
-                    own, chosen = probe(x, forest, probes_used)
-                else:
-                    own = chosen = np.zeros((n, 1), dtype=np.int64)
-                extra = ~(chosen[:, :, None] == own[:, None, :]).any(2)
-                row = np.concatenate([np.repeat(np.arange(n), trees_used), np.nonzero(extra)[0]])
-                cell = np.concatenate([own.ravel(), chosen[extra]])
-                is_data = np.arange(len(row)) < n * trees_used
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dims * 4), n, [None, pa.py_buffer(x.tobytes())])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(is_data), b.column(0).take(take),
-                     raw.cast(pa.binary()).take(take)],
-                    names=["cell", "is_data", "id", "x"],
-                )
-
-    routed = indexed.mapInArrow(route, "cell int, is_data boolean, id string, x binary")
+                if b.num_rows:
+                    x = _unit(_as_arrays(b, 1, dims))
+                    row, cell, cost, own = route(x, shared.value, budget)
+                    yield _batch(cell, own, cost, b.column(0), _binary(x), row)
+
+    routed = indexed.mapInArrow(enter, _ROUTED)
+    cells = 1 << levels[0]
+    for n, depth in enumerate(levels[1:]):
+        routed = _next_stage(routed, depth, rows / cells, parts, dims, budget, seed + n + 1)
+        cells <<= depth
+        parts = max(parts, math.ceil(rows * copies ** (n + 2) * per_row / _PARTITION))
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy(zero_copy_only=False).astype(str)
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims)
-        is_data = table.column("is_data").to_numpy(zero_copy_only=False).astype(bool)
+        is_data = table.column("kind").to_numpy() == 1
         order = np.lexsort((~is_data, ids))
         ids, x, is_data = ids[order], x[order], is_data[order]
         once = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
         ids, x, is_data = ids[once], x[once], is_data[once]
         place = np.concatenate([np.flatnonzero(is_data), np.flatnonzero(~is_data)])
         ids, x, n = ids[place], x[place], int(is_data.sum())
-        i, j = leaf_pairs(x[:n], x[n:], floor, leaf, trees, probes + 2, seed)
+        i, j = _close(x[:n], x[n:], floor)
         sims = np.empty(len(i))
         for s in range(0, len(i), 65536):
             a, b = x[i[s : s + 65536]].astype(np.float64), x[j[s : s + 65536]].astype(np.float64)
@@ -300,7 +323,7 @@ def nearest(
         return pa.table({"id": pa.array(ids[left], pa.string()), "neighbour": pa.array(ids[right], pa.string()),
                          "cosine": pa.array(sims, pa.float64())})
 
-    found = routed.groupBy("cell").applyInArrow(compare, "id string, neighbour string, cosine double")
+    found = routed.repartition(parts, "cell").groupBy("cell").applyInArrow(compare, "id string, neighbour string, cosine double")
     if crowded:
         # every member of a crowded group gets its first fellows; the group side has one row per group
         fellows = first.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("fellows"))

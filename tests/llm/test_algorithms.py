@@ -34,29 +34,50 @@ def clustered(seed, n, dims=64):
     return (x * rng.uniform(0.2, 5, (n, 1))).astype(np.float32)
 
 
-def test_one_leaf_is_exact(spark):
+def near_of(spark, ids, x, **more):
+    df = vec_frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
+    return {(r["id"], r["neighbour"]) for r in vectors.nearest(df, k=5, floor=0.85, **more).collect()}
+
+
+def test_a_budget_without_limit_is_exact(spark):
     x = clustered(1, 300)
     ids = [f"v{i:04d}" for i in range(len(x))]
-    got = {(r["id"], r["neighbour"]) for r in vectors.nearest(vec_frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)]), k=5, floor=0.85).collect()}
-    assert got == brute(ids, x, 5, 0.85)
+    assert near_of(spark, ids, x, budget=1e9) == brute(ids, x, 5, 0.85)
+    assert vectors.stages(300, vectors.LEAF) == [5]  # the forest is used at every size
 
 
 def test_forest_recall(spark):
     x = clustered(2, 3000)
     ids = [f"v{i:05d}" for i in range(len(x))]
     want = brute(ids, x, 5, 0.85)
-    df = vec_frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
-    got = {(r["id"], r["neighbour"]) for r in vectors.nearest(df, k=5, floor=0.85, leaf=256, sample=1024).collect()}
-    assert len(got & want) / len(want) >= 0.95
+    got = near_of(spark, ids, x)
+    assert got <= want | {p for p in got if p[1] not in {q for i, q in want if i == p[0]}}
+    assert len(got & want) / len(want) >= 0.99
+    # without the queue only the own leaves are left
+    assert len(near_of(spark, ids, x, budget=0.0) & want) / len(want) < 0.9
 
 
-def test_leaf_far_above_its_target_is_split_inside():
+def test_forest_in_stages_is_as_good_as_a_deep_one(spark):
+    assert vectors.stages(1 << 30, 8192) == [8, 9] and sum(vectors.stages(10**12, 8192)) == 27
     x = clustered(3, 4000)
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    want = brute(ids, x, 5, 0.85)
+    deep, staged = (near_of(spark, ids, x, leaf=64, stage=n, sample=4000) for n in (6, 3))
+    for got in (deep, staged):
+        assert len(got & want) / len(want) >= 0.98
+
+
+def test_leaves_within_a_budget():
+    x = clustered(4, 500)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    i, j = vectors.leaf_pairs(x[:3500], x[3500:], 0.85, 200, 3, 9, 7)
-    a, b = vectors._close(x[:3500], x[3500:], 0.85)
-    key = lambda p, q: {(min(s, t), max(s, t)) for s, t in zip(p.tolist(), q.tolist())}
-    assert key(i, j) <= key(a, b) and len(key(i, j)) >= 0.93 * len(key(a, b))
+    tree = vectors.unpack(vectors.pack(vectors.fit_tree(x, 4, np.random.default_rng(1))), 64)
+    row, leaf, cost = vectors.leaves_within(x, tree, np.zeros(500, np.float32), 0.01)
+    costs = np.zeros((500, 1), np.float32)  # every leaf's cost, by plain expansion
+    for w, c in tree:
+        m = x @ w.T - c
+        costs = np.stack([costs + np.where(m >= 0, m * m, 0), costs + np.where(m < 0, m * m, 0)], axis=2).reshape(500, -1)
+    assert {(r, n) for r, n in zip(row.tolist(), leaf.tolist())} == {(r, n) for r, n in zip(*map(list, np.nonzero(costs <= 0.01)))}
+    assert (costs[np.arange(500), leaf[:500]] == 0).all() and np.allclose(costs[row, leaf], cost, atol=1e-6)
 
 
 def test_vector_dirt_ties_and_crowded_copies(spark):
