@@ -53,8 +53,8 @@ def test_forest_recall(spark):
     got = near_of(spark, ids, x)
     assert got <= want | {p for p in got if p[1] not in {q for i, q in want if i == p[0]}}
     assert len(got & want) / len(want) >= 0.99
-    # without the queue only the own leaves are left
-    assert len(near_of(spark, ids, x, budget=0.0) & want) / len(want) < 0.9
+    # without the queue and the other trees only one leaf is left
+    assert len(near_of(spark, ids, x, trees=1, budget=0.0) & want) / len(want) < 0.9
 
 
 def test_forest_in_stages_is_as_good_as_a_deep_one(spark):
