@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,23 +67,30 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
+        _drop_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables."""
+    """The shared folder for checkpoints and intermediate tables; a folder of this machine only where all of Spark is on it."""
     own = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not own and not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     return own or os.path.join(tempfile.gettempdir(), "stratalode-checkpoints")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back; for results that several branches read."""
-    import uuid
-
-    spark = df.sparkSession
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _drop_at_exit(spark, path)
+    return path
+
+
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from stratalode.core.manifest import ManifestStore, pending
+from stratalode.core.manifest import Conflict, ManifestStore, pending
 
 T = dt.datetime
 
@@ -58,17 +58,89 @@ def test_store_processes_each_state_once(spark, tmp_path):
     assert s.plan(two).isEmpty()
 
 
-def test_failure_before_commit_repeats_the_same_batch(spark, tmp_path):
+def outputs(s):
+    return sorted((r["path"], r["checksum"]) for r in s.output().collect())
+
+
+def test_output_after_a_change_holds_each_path_once(spark, tmp_path):
+    s = ManifestStore(spark, f"file://{tmp_path}/store")
+    s.run(listing(spark, [("a", 1, "x"), ("b", 2, "y")]), lambda d: d)
+    s.run(listing(spark, [("a", 1, "x"), ("b", 2, "y2")]), lambda d: d)
+    assert outputs(s) == [("a", "x"), ("b", "y2")]
+    s.run(listing(spark, [("a", 1, "x"), ("b", 2, "y")]), lambda d: d)  # back to an earlier state: a batch of its own
+    assert outputs(s) == [("a", "x"), ("b", "y")]
+    s.compact()
+    assert outputs(s) == [("a", "x"), ("b", "y")] and s.version() == 4
+
+
+def test_size_alone_is_a_change_and_unknown_sizes_are_not(spark, tmp_path):
+    s = ManifestStore(spark, f"file://{tmp_path}/store")
+    s.run(listing(spark, [("a", 1, "x"), ("b", None, "y")]), None)
+    assert {r["path"] for r in s.plan(listing(spark, [("a", 2, "x"), ("b", 5, "y"), ("a", 1, "w")])).collect()} == {"a"}
+
+
+def test_arrival_during_a_run_is_left_to_the_next(spark, tmp_path):
+    s = ManifestStore(spark, f"file://{tmp_path}/store")
+    source = f"{tmp_path}/listing"
+    listing(spark, [("a", 1, "x")]).write.parquet(source)
+
+    def process(d):
+        listing(spark, [("late", 1, "z")]).write.mode("append").parquet(source)
+        return d
+
+    s.run(spark.read.parquet(source), process)
+    assert outputs(s) == [("a", "x")]
+    s.run(spark.read.parquet(source), lambda d: d)
+    assert outputs(s) == [("a", "x"), ("late", "z")]
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    one, two = ManifestStore(spark, root), ManifestStore(spark, root)
+    rows = listing(spark, [("a", 1, "x"), ("b", 2, "y")])
+
+    def while_the_other_runs(d):
+        two.run(rows, lambda e: e)
+        return d
+
+    with pytest.raises(Conflict):
+        one.run(rows, while_the_other_runs)
+    assert outputs(one) == [("a", "x"), ("b", "y")] and one.version() == 1
+    assert one.run(rows, lambda d: d) is None
+
+
+@pytest.mark.parametrize("step", ["process", "rows", "claim"])
+def test_failure_at_each_step_repeats_the_same_batch(spark, tmp_path, monkeypatch, step):
     s = ManifestStore(spark, f"file://{tmp_path}/store")
     rows = listing(spark, [("a", 1, "x"), ("b", 2, None)])
+    want = s.batch_id(s.plan(rows))
 
-    def broken(d):
+    def lost(*a):
         raise RuntimeError("lost")
 
-    with pytest.raises(RuntimeError):
-        s.run(rows, broken)
-    assert s.version() == 0 and s.plan(rows).count() == 2
-    first = s.batch_id(s.plan(rows))
-    s.plan(rows).write.parquet(s.data_path(first))  # output written, commit lost
-    assert s.run(rows, lambda d: d) == first
+    if step == "process":
+        with pytest.raises(RuntimeError):
+            s.run(rows, lost)
+    else:
+        with monkeypatch.context() as m:
+            m.setattr(s, "_claim", lost)
+            with pytest.raises(RuntimeError):
+                s.run(rows, lambda d: d)
+        if step == "claim":  # its writer died between creating the file and writing it
+            (tmp_path / "store/commits").mkdir()
+            (tmp_path / "store/commits/000000000001.json").touch()
+            with pytest.raises(Conflict):
+                s.run(rows, lambda d: d)
+            monkeypatch.setattr(ManifestStore, "LEASE", -1.0)
+    assert s.plan(rows).count() == 2
+    assert s.run(rows, lambda d: d) == want
     assert s.output().count() == 2 and s.plan(rows).isEmpty()
+
+
+def test_snapshots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ManifestStore, "COMPACT", 3)
+    s = ManifestStore(spark, f"file://{tmp_path}/store")
+    for i in range(4):
+        s.run(listing(spark, [("a", i, str(i)), (f"p{i}", 1, "x")]), lambda d: d)
+    assert len(s._log()[0]) == 2 and s.version() == 5
+    assert outputs(s) == [("a", "3"), *((f"p{i}", "x") for i in range(4))]
