@@ -29,9 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 THRESHOLD = 0.2
 MIN_PAGES = 5
+FEW = 10_000  # pages with their noise that are sent to every task
 
 # Element names of the HTML standard that occur in running pages (fixed values).
 _TAGS = (
@@ -44,7 +47,7 @@ _TAGS = (
 _T = "|".join(sorted(_TAGS, key=len, reverse=True))
 _TAG = re.compile(rf"</?(?:{_T})(?:\s+[^<>]*)?\s*/?>|<!DOCTYPE[^>]*>", re.I)
 _CUT = re.compile(rf"<(?:{_T})(?:\s+[\w:-]+\s*=\s*(?:\"[^\">\n]*|'[^'>\n]*|[^\s\"'>]*)\"?'?)+\s*(?=$|\n)|</?(?:{_T})\s*\Z", re.I)
-_CUT_HEAD = re.compile(r"\A[\w\"'= -]{0,40}[\"'] ?/?>|\A/?(?:%s)>" % _T, re.I)
+_CUT_HEAD = re.compile(r"\A[\w\"'= -]*[\"'] ?/?>|\A/?(?:%s)>" % _T, re.I)
 _COMMENT = re.compile(r"<!--|-->")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,24});")
 
@@ -52,27 +55,27 @@ _MD = {
     "fence": re.compile(r"^[ \t]{0,8}(?:`{3,}|~{3,})[\w+-]*[ \t]*$", re.M),
     "atx": re.compile(r"^ {0,3}#{1,6}[ \t]+\S", re.M),
     "setext": re.compile(r"^(?![\s|=-]).*\S.*\n(?:={3,}|-{3,})[ \t]*$", re.M),
-    "strong": re.compile(r"\*\*(?=\S)[^*\n]{1,300}?(?<=\S)\*\*|(?<![\w_])__(?=[^\s_])[^\n]{1,300}?(?<=[^\s_])__(?![\w_])"),
-    "strike": re.compile(r"~~(?=\S)[^~\n]{1,300}?(?<=\S)~~"),
-    "code": re.compile(r"(?<!`)`[^`\n]{1,300}`(?!`)"),
-    "link": re.compile(r"!?\[[^\]\[\n]{0,300}\]\((?:[^()\s]|\([^()\s]*\)){1,500}(?:[ \t]+\"[^\"\n]*\")?\)"),
-    "note": re.compile(r"\[\^[\w-]{1,40}\]"),
-    "reference": re.compile(r"^ {0,3}\[[^\]\n]{1,100}\]:[ \t]+\S+", re.M),
+    "strong": re.compile(r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<![\w_])__(?=[^\s_])[^\n]+?(?<=[^\s_])__(?![\w_])"),
+    "strike": re.compile(r"~~(?=\S)[^~\n]+?(?<=\S)~~"),
+    "code": re.compile(r"(?<!`)`[^`\n]+`(?!`)"),
+    "link": re.compile(r"!?\[[^\]\[\n]*\]\((?:[^()\s]|\([^()\s]*\))+(?:[ \t]+\"[^\"\n]*\")?\)"),
+    "note": re.compile(r"\[\^[\w-]+\]"),
+    "reference": re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S+", re.M),
     "quote": re.compile(r"^ {0,3}>[ \t]?\S", re.M),
     "table": re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?[ \t]*)?$", re.M),
     "task": re.compile(r"^[ \t]*[*+-][ \t]+\[[ xX]\][ \t]", re.M),
-    "em": re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])"),
+    "em": re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])"),
 }
 _BULLET = re.compile(r"^[ \t]{0,8}[*+-][ \t]+(?=\S)(?!\d{1,5}[ \t]*-[ \t]*$)", re.M)
 
 _WIKI = {
-    "heading": re.compile(r"^(={1,6})[ \t]*[^=\s\n][^=\n]{0,200}?[ \t]*\1[ \t]*$", re.M),
-    "quotes": re.compile(r"'{2,5}(?=[^\s'])[^'\n]{1,300}(?:'[^'\n]{1,300}){0,4}?'{2,5}"),
-    "link": re.compile(r"\[\[[^\[\]\n]{1,300}\]\]"),
-    "template": re.compile(r"(?<![\\{\w}])\{\{(?=[A-Za-z#])[^{}\\\n]{1,400}\}\}|(?<=\w)\{\{(?=[A-Za-z])[^{}\\\n]{1,400}\|[^{}\\\n]{1,400}\}\}"),
+    "heading": re.compile(r"^(={1,6})[ \t]*[^=\s\n][^=\n]*?[ \t]*\1[ \t]*$", re.M),
+    "quotes": re.compile(r"'{2,5}(?=[^\s'])[^'\n]+(?:'[^'\n]+){0,4}?'{2,5}"),
+    "link": re.compile(r"\[\[[^\[\]\n]+\]\]"),
+    "template": re.compile(r"(?<![\\{\w}])\{\{(?=[A-Za-z#])[^{}\\\n]+\}\}|(?<=\w)\{\{(?=[A-Za-z])[^{}|\\\n]+\|[^{}\\\n]+\}\}"),
     "table": re.compile(r"^\{\|.*$|^\|\}[ \t]*$|^\|-+[ \t]*$", re.M),
-    "list": re.compile(r"^(?::+[*#;:]*|;+[*#;:]*|[*#]*[*#:;]*:[*#]+|\*{2,})[ \t]*(?=[^\s\W])", re.M),
-    "external": re.compile(r"\[https?://[^\s\]]{1,400}[ \t]+[^\]\n]{1,200}\]"),
+    "list": re.compile(r"^(?::+[*#;:]*|;+[*#;:]*|[*#]*[*#:;]*:[*#]+|\*{2,}(?![^\n]*\*[ \t]*$))[ \t]*(?=[^\s\W])", re.M),
+    "external": re.compile(r"\[https?://[^\s\]]+[ \t]+[^\]\n]+\]"),
     "magic": re.compile(r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__"),
 }
 
@@ -88,7 +91,7 @@ _TEX = {
     "command": re.compile(r"(?<![\w:\\])\\[a-zA-Z]{2,30}\*?(?:\[[^\]\n]{0,100}\])?\{|(?<=\w)\\(?:footnote|cite|ref|label|textbf|emph|url)\w*\{"),
     "bare": re.compile(rf"(?<![\w:\\])\\(?:{_B})(?![a-zA-Z])"),
     "display": re.compile(r"\$\$|(?<!\\)\\\[|(?<!\\)\\\]|(?<![\\\w])\\\(|(?<!\\)\\\)"),
-    "inline": re.compile(r"(?<![\\$\w])\$(?![\s$])(?:[^$\n]{0,200}[\\^_{}=+*/<>-][^$\n]{0,200}|[A-Za-z])(?<!\s)\$(?![\d$])"),
+    "inline": re.compile(r"(?<![\\$\w])\$(?![\s$])(?:(?=[^$\n]*[\\^_{}=+*/<>-])[^$\n]+|[A-Za-z])(?<!\s)\$(?![\d$])"),
 }
 _BS = "\\"
 
@@ -100,7 +103,7 @@ def constructs(text: str) -> dict[str, list[str]]:
     if "<" in text or ">" in text or "&" in text:
         if _TAG.search(text):
             found.append("tag")
-        elif "<" in text and _CUT.search(text) or ">" in text[:60] and _CUT_HEAD.search(text):
+        elif "<" in text and _CUT.search(text) or ">" in text and _CUT_HEAD.search(text):
             found.append("cut tag")
         if "--" in text and _COMMENT.search(text):
             found.append("comment")
@@ -215,6 +218,20 @@ def parse(text: str) -> Node:
     return b.root
 
 
+def elements_of(text: str, found: dict[str, list[str]]):
+    """(path, style, content) of every element of a page; the first part of a path is the element's language.
+
+    HTML elements stand at their place in the DOM; constructs of the languages without a document tree stand below their language.
+    """
+    for language, kinds in found.items():
+        if language == "html" and "tag" in kinds:
+            for path, style, words, _ in walk(parse(text)):
+                yield f"html{path}", style, words
+        for kind in kinds:
+            if kind != "tag":
+                yield f"{language}/#{kind}", "", kind
+
+
 def walk(root: Node):
     """(path, style, content, node) of each element; equal siblings share a path, as in a merged tree."""
     stack = [(root, "")]
@@ -239,7 +256,7 @@ def render(node: Node, noise: frozenset[str], path: str = "", inside_pre: bool =
             out.append(c if inside_pre else re.sub(r"\s+", " ", c) if node.tag not in ("#root",) else c)
             continue
         p = f"{path}/{c.label}"
-        if c.tag in _SKIP or p in noise:
+        if c.tag in _SKIP or f"html{p}" in noise:
             continue
         if c.tag == "br":
             out.append("\n")
@@ -357,8 +374,7 @@ def clean(text: str, languages, noise: frozenset[str] = frozenset()) -> str:
     t = text
     if "html" in languages:
         t = re.sub(r"<!--.*?(?:-->|\Z)|-->", "", t, flags=re.S)
-        if ">" in t[:60]:
-            t = _CUT_HEAD.sub("", t)
+        t = _CUT_HEAD.sub("", t)
         t = render(parse(t), noise) if "<" in t else html.unescape(t)
         t = t.replace("\xa0", " ")
     if "latex" in languages:
@@ -413,31 +429,34 @@ def clean_markup(
             hosts, pages, paths, styles, contents = [], [], [], [], []
             sign = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
             for page, text, h in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if _TAG.search(text):
-                    for path, style, words, _ in walk(parse(text)):
-                        hosts.append(h)
-                        pages.append(page)
-                        paths.append(path)
-                        styles.append(sign(style))
-                        contents.append(sign(words))
+                for path, style, words in elements_of(text, constructs(text)):
+                    hosts.append(h)
+                    pages.append(page)
+                    paths.append(path)
+                    styles.append(sign(style))
+                    contents.append(sign(words))
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in (hosts, pages, paths)], *[pa.array(x, pa.int64()) for x in (styles, contents)]],
                                              names=["host", "page", "path", "style", "content"])
 
+    # only elements of a document tree can be branches of a site; whole contents and styles, by their hashes
     tagged = rows.where(~F.col("is_code") & F.col("content").contains("<") & F.col("content").contains(">"))
-    # whole contents and styles, by their hashes
     compact = tagged.select("id", "content", "host").mapInArrow(elements, "host string, page string, path string, style bigint, content bigint")
+    compact = checkpoint(compact)  # read by the counts, by the branches to keep and by the pages that hold noise
     tree = style_tree(compact)
     low = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path")
     high = tree.where((F.col("pages") < min_pages) | (F.col("importance") >= threshold)).select("host", F.col("path").alias("inner"))
     # a branch with an important element inside stays: its ancestors are taken out of the list
     keep = high.select("host", F.explode(F.expr(
         "transform(sequence(1, size(split(inner, '/'))), i -> array_join(slice(split(inner, '/'), 1, i), '/'))")).alias("path")).distinct()
-    noise = low.join(keep, ["host", "path"], "left_anti")
+    noise = low.where(F.startswith("path", F.lit("html/")) & ~F.contains("path", F.lit("/#"))).join(keep, ["host", "path"], "left_anti")
     per_page = (
         compact.select("host", "page", "path").distinct().join(noise, ["host", "path"])
-        .groupBy("page").agg(F.collect_set("path").alias("noise"))
+        .groupBy(F.col("page").alias("id")).agg(F.collect_set("path").alias("noise"))
     )
-    wide = rows.join(per_page.withColumnRenamed("page", "id"), "id", "left")
+    per_page = checkpoint(per_page)
+    # the pages with noise: where they are few they go to the texts, else both meet by id
+    few = per_page.limit(FEW + 1).count() <= FEW
+    wide = rows.join(F.broadcast(per_page) if few else per_page, "id", "left")
 
     def finish(batches):
         for whole in batches:

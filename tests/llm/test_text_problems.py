@@ -81,6 +81,9 @@ def test_fold_is_an_index_for_can_become():
     ("# Title\n\ntext", {"markdown"}), ("- 12 -", set()), ("see [it](./x.md)", {"markdown"}), ("Ticket #12 follows", set()), ("set max_size and min_size", set()), ("a * b * c", set()),
     ("== Head ==\ntext", {"wiki"}), ("the [[Link|word]]", {"wiki"}), ("{{note|x}}", {"wiki"}), ("array[[1]", set()), ("x == y", set()),
     ("C:\\temp\\new_1", set()), ("\\emph{x}", {"latex"}), ("cost $ 3 and $ 4 now", set()), ("$x^{2}$", {"latex"}), ("\\[a = b\\]", {"latex"}), ("| a | b |\n| --- | --- |\n| 1 | 2 |", {"markdown"}),
+    ("**Notes**", {"markdown"}), ("**Notes*", set()), ("* one\n** two", {"wiki"}), ("text **bold words** text\n**Bold line**", {"markdown"}),
+    ("[" + "x" * 900 + "](./x.md)", {"markdown"}), ("{{note|" + "y " * 900 + "z}}", {"wiki"}), ("''" + "z " * 900 + "z''", {"wiki"}), ("$x = " + "a + " * 400 + "a$", {"latex"}),
+    ("it costs $ 5 and then $ 6 - or less", set()), ('class="' + "n" * 300 + '">rest of a tag', {"html"}),
     ("", set()), ("plain", set())])
 def test_constructs(text, want):
     assert set(markup.constructs(text)) == want
@@ -104,6 +107,9 @@ def test_style_tree_removes_repeated_branches(spark):
     assert len(out) == len(rows)
     assert all("Products" not in got[f"p{i}"]["text"] and f"Story {i}" in got[f"p{i}"]["text"] for i in range(12))
     assert "Products" in got["q"]["text"]  # one page tells nothing
+    plain = markup.clean_markup(df, heading=F.col("heading"), host=F.col("host"), is_code=F.col("code"), min_pages=10**9).collect()
+    assert all("Products" in r["text"] for r in plain if r["id"].startswith("p"))  # without the tree nothing is removed
+    assert {r["id"]: r["languages"] for r in plain} == {r["id"]: r["languages"] for r in out}
     assert got["n"]["text"] is None and got["c"]["text"] == "<b>x</b>" and got["c"]["languages"] == [] and got["e"]["text"] == ""
     assert markup.clean_markup(df.limit(0)).count() == 0
 
