@@ -5,9 +5,16 @@ character it emits, the source character it came from: invisible characters vani
 fold to ASCII, runs of spelled digits become digits, ``at``/``dot`` disguises become ``@`` and ``.``. Detectors run on
 the rewritten text; their spans are mapped back, so the text outside of the placeholders stays as it was.
 
-Detectors: email addresses, phone numbers, identity numbers, street addresses, and names of persons (a given name of the
-lexicon or an initial beside a capitalised family name, in either order; after a cue, any two capitalised words).
-Where spans overlap, the earlier in this order wins: email, id_number, phone, address, name.
+Detectors: email addresses, phone numbers, identity numbers, street addresses, and names of persons: an initial or a known given
+name beside a capitalised family name, in either order; any two capitalised words after a title or a signature label; and any
+two capitalised words that the tagger takes for a name. The tagger is a logistic model of shape (case, endings, whether the
+words also occur in lower case), place in the line and neighbouring words, not of the words themselves. It is fitted on the
+corpus itself: names found by the other rules are its labelled rows, other capitalised pairs the rest, of a bounded sample of
+documents (``sample`` of them by a hash of the text, at most ``MAX_PAIRS`` pairs). Where spans overlap, the earlier in this
+order wins: email, id_number, phone, address, name.
+
+Bounds that are those of the formats: 64 characters before an at sign and 7 labels after it, 15 digits of a phone number, a label
+within 24 characters before a bare number.
 
 Defined results: null texts give no rows and stay null; empty texts stay empty; positions count code points from 1;
 equal spans are one row; repeated rows are reported under each id; extra columns are not carried. Time grows linearly
@@ -16,14 +23,18 @@ with the text: all patterns are bounded in their repetition.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpoint, spread
 
 TYPES = ("email", "id_number", "phone", "address", "name")
 
@@ -40,10 +51,17 @@ _SAME_LENGTH_HINT = re.compile("[%s]" % "".join(map(chr, _SAME_LENGTH)))
 _MIXED = re.compile("[A-Za-z0-9@][\u0370-\u052f]|[\u0370-\u052f][A-Za-z0-9@]")
 _MIXED_WORD = re.compile("[\\w@.+-]*(?:[A-Za-z0-9@][\u0370-\u052f]|[\u0370-\u052f][A-Za-z0-9@])[\\w@.+-]*")
 _LOOKALIKES = str.maketrans(_LOOKALIKE)
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-                "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4",
-                "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
-_SPELLED = re.compile(r"\b(?:(?:plus|double|triple|%s)\b[ -]?){7,30}" % "|".join(_DIGIT_WORDS), re.I)
+_DIGIT_WORDS = {w: str(i) for words in (  # English, German, French, Spanish from zero to nine (fixed values)
+    "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+) for i, w in enumerate(words.split())} | {"oh": "0", "zwo": "2"}
+_PLUS = {"plus": "+", "más": "+"}
+_TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
+_SPELLED_WORDS = frozenset(_DIGIT_WORDS) | frozenset(_PLUS) | frozenset(_TIMES)
+_SPELLED = re.compile(r"\b(?:(?:%s)\b[ ,.-]{0,2}){7,30}" % "|".join(sorted(_SPELLED_WORDS, key=len, reverse=True)), re.I)
+_BREAKS = str.maketrans("-,.;:()\"'", " " * 9)
+_HAN = {c: str(i) for i, c in enumerate("零一二三四五六七八九")} | {"〇": "0", "幺": "1"}
+_HAN_RUN = re.compile("[%s](?:[ -]?[%s]){6,29}" % (("".join(_HAN),) * 2))
 _CASELESS = str.maketrans("ſİı", "sii")  # what re.I takes for s and i besides S and I
 _AT = re.compile(r"[ \t]*(?:[\[({<][ \t]*(?:at|ät|arroba|arobase|a|@)[ \t]*[\])}>]|&#64;|&commat;|﹫)[ \t]*", re.I)
 _AT_HINTS = ("at]", "at)", "at}", "at>", "at ]", "at )", "arroba", "arobase", "(a)", "[a]", "[@]", "(@)", "&#64;", "&commat;", "﹫", "(ät)", "[ät]")
@@ -88,14 +106,15 @@ class Mapped:
 def _spelled(m: re.Match) -> str:
     out, times = [], 1
     for w in re.findall(r"\w+", m[0].translate(_CASELESS).lower()):
-        if w in ("double", "triple"):
-            times = 2 if w == "double" else 3
-        elif w == "plus":
+        if w in _TIMES:
+            times = _TIMES[w]
+        elif w in _PLUS:
             out.append("+")
         else:
             out.append(_DIGIT_WORDS[w] * times)
             times = 1
-    return "".join(out) + (" " if m[0][-1] in " -" else "")
+    end = re.search(r"[ ,.-]*\Z", m[0])[0]
+    return "".join(out) + end
 
 
 def rewrite(text: str) -> Mapped:
@@ -106,8 +125,12 @@ def rewrite(text: str) -> Mapped:
             m.replace(_INVISIBLE, "")
         if _MIXED.search(m.text):
             m.text = _MIXED_WORD.sub(lambda x: x[0].translate(_LOOKALIKES), m.text)
-    m.replace(_SPELLED, _spelled)
-    low = m.text.lower()
+        m.replace(_HAN_RUN, lambda x: "".join(_HAN.get(c, "") for c in x[0]))
+    low = m.text.translate(_CASELESS).lower()
+    # fewer than seven digit words in the whole text are no spelled number
+    if sum(map(_SPELLED_WORDS.__contains__, low.translate(_BREAKS).split())) >= 7:
+        m.replace(_SPELLED, _spelled)
+        low = m.text.lower()
     if any(w in low for w in _AT_HINTS):
         m.replace(_AT, "@")
         m.replace(_DOT, ".")
@@ -173,7 +196,7 @@ _ADDRESS = re.compile(
 _ADDRESS_REST = re.compile(
     rf"(?:, ?(?:Apt|Apartment|Flat|Suite|Unit|No)\.? ?\d{{1,4}}[A-Za-z]?)?(?:, ?\d{{1,2}}º ?[A-Z])?(?:,? ?\d{{4,6}} {_CAP}|, {_CAP}(?: \d{{4,6}})?)?")
 
-# Given names that the detector knows without a cue; a parameter, extended by callers.
+# Given names that the detector knows: a feature and the seed of the tagger's labels; a parameter, extended by callers.
 GIVEN = (
     "Adam Alice Amadou Amir Ana Andrea Anita Anna Anne Anouk Antonio Astrid Barbara Beatriz Ben Björn Bruno Carla Carlos "
     "Carmen Catherine Chen Chloé Christine Claire Clara Daniel Dario David Diego Dmitri Elena Elif Elizabeth Emeka Emil Emily "
@@ -202,24 +225,105 @@ _AFTER = re.compile(rf"(?: [A-ZÀ-ÖØ-Þ]\.){{0,2}}[ \t]({_FAMILY})(?![\w@])")
 _BEFORE = re.compile(rf"(?<![\w@.-])({_FAMILY}), ?$")
 _INITIAL_AFTER = re.compile(r"(?: [A-ZÀ-ÖØ-Þ]\.)?(?!\w)")
 _INITIALS = re.compile(rf"(?<![\w.@-])(?:[A-ZÀ-ÖØ-Þ]\.[ -]?){{1,3}}(?<=[. ])({_FAMILY})(?![\w@])(?!\.\w)")
+# Titles and labels of signatures and bylines.
 _CUE = re.compile(
-    r"(?:\b(?:Maintainer|maintained by|reviewed by|Reviewed-by|Signed-off-by|Author|author|Corresponding author|Contact|cc|Cc|"
-    r"belongs to|spoke with|noted by|According to|according to|signed form to|go to|Rückfragen bitte an|Lieferung an|Laut|"
-    r"Pour toute question, écrire à|Selon|Enviar a|escriba a|Según|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)"
-    r"|联系|\"user\")[.:=\"'\s]{1,5}")
-_CUE_HINTS = ("aintain", "eview", "Signed", "uthor", "Contact", "c: ", "belongs", "spoke", "noted by", "ccording", "signed form", "go to",
-              "fragen", "Lieferung", "Laut", "écrire", "Selon", "nviar", "scriba", "Según", "Mr", "Ms", "Dr", "Prof", "Herr", "Frau",
-              "Señor", "Madame", "Monsieur", "联系", '"user"')
+    r"(?:\b(?:[Mm]aintainer|[Mm]aintained by|[Rr]eviewed by|Reviewed-by|Signed-off-by|[Aa]uthor|[Cc]ontact|[Cc]c|[Aa]ccording to|"
+    r"Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Señora?|Madame|Monsieur)|联系|\"user\")[.:=\"'\s]{1,5}")
+_CUE_HINTS = ("aint", "eview", "Signed", "uthor", "ontact", "c: ", "ccording", "Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Madame", "Monsieur", "联系", '"user"')
 _PAIR = re.compile(rf"([A-ZÀ-ÖØ-Þ][^\W\d_]{{1,24}})(?: [A-Z]\.)?[ ]({_FAMILY})(?=[\s]*(?:[,;.<(|\"']|at\b|unter\b|en\b|und\b|and\b|$))")
 
 
+_TWO = re.compile(rf"(?<![\w@.+-])(?<![A-ZÀ-ÖØ-Þ]\. )([A-ZÀ-ÖØ-Þ][^\W\d_]{{1,24}}(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]{{1,24}})?)(?: [A-ZÀ-ÖØ-Þ]\.){{0,2}} ({_FAMILY})(?![\w@])")
+_LAST_WORD = re.compile(r"[\w'-]+(?=\W*\Z)")
+_NEXT_WORD = re.compile(r"\W{0,2}([\w'-]+)")
+_ALPHA = re.compile(r"(?<!\w)[^\W\d_]{3,}(?!\w)")
+COMMON = 6  # documents of the sample from which a word is common
+SAMPLE, MAX_PAIRS, MAX_WORDS = 2000, 20_000, 50_000
+SURE = 0.85
+
+
+class Tagger:
+    """Logistic model of capitalised pairs: which are names of persons."""
+
+    def __init__(self, weights: dict[str, float], common: frozenset[str]):
+        self.weights, self.common = weights, common
+
+    @staticmethod
+    def seen(one: str, two: str, common) -> list[str]:
+        """How the two words occur in the sample: in lower case, capitalised, or hardly at all."""
+        a, b = ("lower" if w.lower() in common else "capital" if w.title() in common else "rare" for w in (one, two))
+        return [f"words {a} {b}", f"second {b}"]
+
+    @staticmethod
+    def features(t: str, m: re.Match, common) -> list[str]:
+        a, z = m.span()
+        one, two = m[1], m[2]
+        before, after = t[max(0, a - 30) : a], t[z : z + 30]
+        left = before.rstrip(" \t")
+        out = ["bias", *Tagger.seen(one, two, common), f"caps {one.isupper() and len(one) > 2}"]
+        starts = not left or left[-1] in "\n#>*|"
+        if starts and after[:1] in ("", "\n", "\r"):
+            out.append("whole line")
+        out.append("starts line" if starts else f"left {left[-1]}" if not left[-1].isalnum() else "inside")
+        p, n = _LAST_WORD.search(left), _NEXT_WORD.match(after)
+        if p and not starts:
+            out += [f"before {p[0].lower()}", f"before capital {p[0][0].isupper()}"]
+        if n:
+            out += [f"after {n[1].lower()}", f"after capital {n[1][0].isupper()}"]
+        out.append(f"right {after[:1]!r}" if not after[:1].isalnum() else "right w")
+        return out
+
+    @classmethod
+    def fit(cls, rows: list[tuple[list[str], bool]], common: frozenset[str], rounds: int = 300) -> Tagger | None:
+        """Gradient steps on the log likelihood with a quadratic penalty; None without rows of both kinds."""
+        y = np.array([float(b) for _, b in rows])
+        if not len(y) or y.min() == y.max():
+            return None
+        index: dict[str, int] = {}
+        row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+        col = np.array([index.setdefault(x, len(index)) for f, _ in rows for x in f])
+        often = np.bincount(col) >= 5  # a context seen less often says nothing
+        keep = often[col]
+        row, col = row[keep], col[keep]
+        w = np.zeros(len(index))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.bincount(row, w[col], len(y))))
+            w += 0.5 * (np.bincount(col, (y - p)[row], len(w)) / np.sqrt(np.bincount(col, minlength=len(w)) + 5.0) / 4 - 0.02 * w)
+        return cls(dict(zip(index, w.tolist())), common)
+
+    def sure(self, t: str, m: re.Match) -> bool:
+        x = sum(self.weights.get(f, 0.0) for f in self.features(t, m, self.common))
+        return x >= math.log(SURE / (1 - SURE))
+
+
 def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
 
 
+class Free:
+    """Disjoint spans in order; asks and additions are binary searches."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.is_free(a, b):
+                self.add(a, b)
+
+    def is_free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 class Detector:
-    def __init__(self, given: tuple[str, ...] | list[str] = tuple(GIVEN)):
+    def __init__(self, given: tuple[str, ...] | list[str] = tuple(GIVEN), tagger: Tagger | None = None):
         self.given = frozenset(_plain(g) for g in given)
+        self.tagger = tagger
         self.memo: dict[str, bool] = {}
 
     def is_given(self, word: str) -> bool:
@@ -259,8 +363,34 @@ class Detector:
             p = _PAIR.match(t, m.end())
             if p and family(p[2], p[1].isupper()) and _plain(p[1]) not in _NO_NAMES:
                 out.append((p.start(), p.end()))
+        if self.tagger:
+            free = Free(out)
+            for m in self.pairs(t):
+                if free.is_free(*m.span()) and self.tagger.sure(t, m):
+                    free.add(*m.span())
+                    out.append(m.span())
         return out
 
+    @staticmethod
+    def pairs(t: str):
+        """Two capitalised words, the first no function word: what the tagger judges."""
+        at = 0
+        while m := _TWO.search(t, at):
+            at = m.end(1)  # the second word may begin a pair of its own
+            if m[2][0].isupper() and _plain(m[1]) not in _NO_NAMES and _plain(m[2].split()[-1]) not in _NO_NAMES and not (m[1].isupper() or m[2].isupper()):
+                yield m
+
+    def labelled(self, text: str):
+        """(match, rewritten text, whether the other rules take it for a name) of the pairs of a text."""
+        t = rewrite(text).text
+        taken = self.find(text) if self.tagger is None else []
+        names = {(a, b) for a, b, k in taken if k == "name"}
+        other = Free([(a, b) for a, b, k in taken if k != "name"])
+        if t == text:  # where nothing moved, spans compare directly
+            for m in self.pairs(t):
+                if other.is_free(*m.span()):
+                    yield m, t, any(a <= m.start() and m.end() <= b or m.start() <= a < m.end() for a, b in names)
+
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(type, start, end) in characters of the source from 0, end exclusive, ordered, free of overlaps."""
         m = rewrite(text)
@@ -284,9 +414,11 @@ class Detector:
             spans["address"].append((x.start(), _ADDRESS_REST.match(t, x.end()).end()))
         spans["name"] = self.names(t)
         taken: list[tuple[int, int, str]] = []
+        free = Free()
         for kind in TYPES:
             for a, b in sorted(spans[kind]):
-                if not any(a < d and c < b for c, d, _ in taken):
+                if free.is_free(a, b):
+                    free.add(a, b)
                     taken.append((a, b, kind))
         return sorted((m.start(a), m.end(b), k) for a, b, k in taken)
 
@@ -299,26 +431,49 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-_LOADED: dict[tuple[str, ...], Detector] = {}
-
-
-def _detector(given: tuple[str, ...]) -> Detector:
-    if given not in _LOADED:
-        _LOADED[given] = Detector(given)
-    return _LOADED[given]
-
-
 _SPANS = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
 
 
-def scrub(df: DataFrame, *, id_col="doc_id", text_col="text", given: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def fit_tagger(texts: DataFrame, given: tuple[str, ...] = tuple(GIVEN), sample: int = SAMPLE) -> Tagger | None:
+    """From a frame of one text column: about ``sample`` of its rows by a hash of the text; equal texts share their fate."""
+    rows = texts.toDF("text")
+    share = min(1.0, sample / max(1, rows.count()))  # the count comes from file footers
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def label(batches):
+        d = Detector(given)
+        for b in batches:
+            feats, labels, words = [], [], Counter()
+            for text in b.column(0).to_pylist():
+                if text:
+                    words.update({w.title() if w.isupper() else w for w in _ALPHA.findall(text)})
+                    for m, t, is_name in d.labelled(text):
+                        feats.append([m[1], m[2], *Tagger.features(t, m, ())])
+                        labels.append(int(is_name))
+            feats += [[w] for w in words]
+            labels += [-n for n in words.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.string())), pa.array(labels, pa.int32())], names=["features", "label"])
+
+    seen = checkpoint(spread(picked).mapInArrow(label, "features array<string>, label int"))  # read twice
+    # words (label < 0: minus their documents) and pairs, each with a bound of its own
+    words = seen.where("label < 0").groupBy(F.col("features")[0].alias("w")).agg(F.sum(-F.col("label")).alias("n")).where(F.col("n") >= COMMON)
+    words = words.orderBy(F.desc("n"), "w").limit(MAX_WORDS).select(F.array("w").alias("features"), F.lit(-1).alias("label"))
+    pairs = seen.where("label >= 0").orderBy(F.xxhash64("features"), "features", "label").limit(MAX_PAIRS)
+    rows = words.unionByName(pairs).collect()
+    common = frozenset(r["features"][0] for r in rows if r["label"] < 0)
+    fresh = lambda f: [x for x in Tagger.seen(f[0], f[1], common)] + [x for x in f[2:] if not x.startswith(("words ", "second "))]
+    return Tagger.fit([(fresh(r["features"]), r["label"] == 1) for r in rows if r["label"] >= 0], common)
+
+
+def scrub(df: DataFrame, *, id_col="doc_id", text_col="text", given: list[str] | None = None, with_text: bool = True, sample: int = SAMPLE) -> DataFrame:
     """(id, clean text, spans) of every row; a narrow map over two columns. Spans count from 1, the end inclusive."""
     names = tuple(given if given is not None else GIVEN)
     slim = spread(df.select(df[id_col], df[text_col]))
     kind = slim.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(fit_tagger(df.select(df[text_col]), names, sample))
 
     def run(batches):
-        d = _detector(names)
+        d = Detector(names, shared.value)
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)

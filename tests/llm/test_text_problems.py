@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,7 +174,8 @@ D = pii.Detector()
 
 @pytest.mark.parametrize("text", [
     "plus four nine one five one two three four five six eight", "Plus Four Nine One Five One Two Three Four Five Six Eight",
-    "plus four nine oh five one two three four five ſix eight", "plus vier neun eins fünf eins zwei drei vier fünf sechs acht"])
+    "plus four nine oh five one two three four five ſix eight", "plus vier neun eins fünf eins zwei drei vier fünf sechs acht", "plus quatre neuf un cinq un deux trois quatre cinq six huit",
+    "más cuatro nueve uno cinco uno dos tres cuatro cinco seis ocho", "plus-four-nine-one-five-one-two-three-four-five-six-eight"])
 def test_spelled_numbers_without_zero_and_seven(text):
     assert [(k, text[a:b]) for a, b, k in D.find(text)] == [("phone", text)]
 
@@ -192,6 +194,31 @@ def test_detect(text, want):
     assert [(k, text[a:b]) for a, b, k in D.find(text)] == want
 
 
+def test_digit_words_that_are_no_number():
+    for text in ("one two three go", "one of the two, three of six, four or five, and then seven of eight", "一二三"):
+        assert D.find(text) == []
+    assert pii.rewrite("电话 四九一五一二三四五六八 号").text == "电话 49151234568 号"
+
+
+def test_names_that_no_list_knows(spark):
+    verbs = ("met", "asked", "thanked", "called", "joined", "saw")
+    given, family = "Anna Bruno Clara Dario Emma Felix Greta Henrik".split(), [a + b for a in ("Nor", "Wel", "Kast", "Brim", "Dun", "Orl") for b in ("dal", "mark", "holt", "beck", "sen")]
+    rows = [(f"we {verbs[i % 6]} {given[i % 8]} {family[i % 30]} and then the others came to the table",) for i in range(240)]
+    rows += [(f"# Stable Index\nthe Falcon Lake dataset and the Amber Kestrel release were {verbs[i % 6]} by us",) for i in range(240)]
+    tagger = pii.fit_tagger(spark.createDataFrame(rows, "text string"))
+    find = lambda t: [t[a:b] for a, b, k in pii.Detector(tagger=tagger).find(t) if k == "name"]
+    assert find("we met Aoife Brennan and then the others left") == ["Aoife Brennan"] and find("we asked Siobhan O'Neill and went") == ["Siobhan O'Neill"]
+    assert find("the Falcon Lake dataset and the Amber Kestrel release") == [] and find("# Stable Index\nthe rest") == []
+    assert pii.Detector().find("we met Aoife Brennan and then the others left") == []  # the model decides, not the list
+    assert pii.fit_tagger(spark.createDataFrame([("Nothing Here",), (None,)], "text string")) is None
+
+
+def test_many_spans_in_one_text():
+    began = time.time()
+    found = D.find("at Lindenstraße 12, 10115 Berlin, by Anna Berg; " * 4000)
+    assert len(found) == 8000 and time.time() - began < 8
+
+
 def test_scrub_dirt(spark):
     long = "word " * 100_000 + "Anna Berg"
     rows = [(1, None, "a"), (2, "", "b"), (3, long, None), (4, "\U0001f600 Anna Berg, a@b.example", "c"), (None, "x@y.example", "d"), (4, "\U0001f600 Anna Berg, a@b.example", "c")]
