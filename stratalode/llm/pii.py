@@ -59,7 +59,7 @@ _PLUS = {"plus": "+", "más": "+"}
 _TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
 _SPELLED_WORDS = frozenset(_DIGIT_WORDS) | frozenset(_PLUS) | frozenset(_TIMES)
 _SPELLED = re.compile(r"\b(?:(?:%s)\b[ ,.-]{0,2}){7,30}" % "|".join(sorted(_SPELLED_WORDS, key=len, reverse=True)), re.I)
-_BREAKS = str.maketrans("-,.;:()\"'", " " * 9)
+_BREAKS = "-,.;:()\"'"
 _HAN = {c: str(i) for i, c in enumerate("零一二三四五六七八九")} | {"〇": "0", "幺": "1"}
 _HAN_RUN = re.compile("[%s](?:[ -]?[%s]){6,29}" % (("".join(_HAN),) * 2))
 _CASELESS = str.maketrans("ſİı", "sii")  # what re.I takes for s and i besides S and I
@@ -126,9 +126,12 @@ def rewrite(text: str) -> Mapped:
         if _MIXED.search(m.text):
             m.text = _MIXED_WORD.sub(lambda x: x[0].translate(_LOOKALIKES), m.text)
         m.replace(_HAN_RUN, lambda x: "".join(_HAN.get(c, "") for c in x[0]))
-    low = m.text.translate(_CASELESS).lower()
+    low = m.text.lower()
+    words = low if low.isascii() else low.replace("ſ", "s").replace("ı", "i").replace("i\u0307", "i")
+    for c in _BREAKS:
+        words = words.replace(c, " ")
     # fewer than seven digit words in the whole text are no spelled number
-    if sum(map(_SPELLED_WORDS.__contains__, low.translate(_BREAKS).split())) >= 7:
+    if sum(map(_SPELLED_WORDS.__contains__, words.split())) >= 7:
         m.replace(_SPELLED, _spelled)
         low = m.text.lower()
     if any(w in low for w in _AT_HINTS):
@@ -180,7 +183,8 @@ _ID_CUED = re.compile(
     r"numéro d'identité|dni|nie)\b|身份号码|身份证号?)[\"'\s:=：]{0,4}(?:is|lautet|es|est)?[\"'\s:=：]{0,4}"
     r"(?P<n>[A-Z0-9](?:[A-Z0-9 -]{4,22})[A-Z0-9])(?!\w)", re.I)
 
-_ID_HINTS = ("identi", "national", "ssn", "passport", "ausweis", "dni", "nie", "身份")
+_ID_HINTS = ("identity ", "national", "ssn", "passport", "ausweis", "documento de ", "numéro d", "dni", "身份")
+_NIE = re.compile(r"\bnie[\"'\s:=：]{1,4}(?:is|lautet|es|est)?[\"'\s:=：]{0,4}[a-z]?-?\d")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]{1,40}"
 _ADDRESS = re.compile(
@@ -239,7 +243,7 @@ _NEXT_WORD = re.compile(r"\W{0,2}([\w'-]+)")
 _ALPHA = re.compile(r"(?<!\w)[^\W\d_]{3,}(?!\w)")
 COMMON = 6  # documents of the sample from which a word is common
 SAMPLE, MAX_PAIRS, MAX_WORDS = 2000, 20_000, 50_000
-SURE = 0.85
+SURE = 0.9
 
 
 class Tagger:
@@ -406,7 +410,7 @@ class Detector:
                 at = t.find("@", max(at + 1, last))
         spans["id_number"] += [x.span() for x in _ID.finditer(t)]
         low = t.lower()
-        if any(w in low for w in _ID_HINTS):
+        if any(w in low for w in _ID_HINTS) or "nie" in low and _NIE.search(low):
             spans["id_number"] += [x.span("n") for x in _ID_CUED.finditer(t) if sum(c.isdigit() for c in x["n"]) >= 5]
         spans["phone"] += [x.span() for x in _PHONE.finditer(t) if 8 <= sum(c.isdigit() for c in x[0]) <= 15]
         spans["phone"] += [x.span() for x in _PHONE_BARE.finditer(t) if _PHONE_CUE.search(t, max(0, x.start() - 24), x.start())]
