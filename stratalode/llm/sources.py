@@ -1,9 +1,10 @@
 """Source files that nobody wrote by hand for their repository: generated, minified, vendored, data stored as code.
 
-A character n-gram model of identifiers is trained per language on the whole collection (counts are combined inside each
-map task; the table is bounded by the alphabet, not by the rows). Per file then: the cross-entropy of its identifiers under
-its language's model shows mangled names (minified files and encoded blobs); the diversity of its line templates (lines with
-words and numbers masked) shows text written by a template; a foreign style shows a copy: attribution lines, the place in
+A character n-gram model of identifiers is trained per language on all files of ordinary layout (counts are combined inside each
+map task; the table is bounded by the alphabet, not by the rows). Per file then: the cross-entropy of its identifiers under its
+language's model, against the cross-entropy of the language's own names, decides whether names are mangled: they tell far less
+by the name than written ones do, or far more by the character; mangled names in dense lines are a minified file. The diversity
+of its line templates (lines with words and numbers masked) shows text written by a template; a foreign style shows a copy: attribution lines, the place in
 the tree, an identifier style that the repository does not use, and above all lines that are also in files of other
 repositories that carry such evidence. Lines are compared by hash, counted with map-side combine, so a repository or a
 licence text that holds a third of all rows is one counter.
@@ -30,9 +31,10 @@ from ..session import checkpoint, spread
 
 KINDS = ("generated", "minified", "data", "vendored")
 
-ENTROPY = 4.6  # bits per character from which identifiers count as mangled
+POOR, RICH = 0.72, 1.25  # of the language's bits per name, and per character, from which names count as mangled
 MIN_NAMES = 20
-SHORT_NAMES = 0.45
+ORDINARY = 100  # characters of a mean line of files that teach the model
+DENSE_LINES, DENSE_BLANKS = 100, 0.1
 TEMPLATE = 0.45  # share of the commonest line template
 TEMPLATE_WITH_BANNER = 0.3
 MIN_LINES = 6
@@ -49,6 +51,8 @@ _BLOB_LINE = re.compile(r"[A-Za-z0-9+/=_-]{48,}")
 _NUMBERS = re.compile(r"0x[0-9a-fA-F]+|#[0-9a-fA-F]{3,8}\b|\d+(?:\.\d+)?")
 _LETTERS = re.compile(r"[A-Za-z_$][\w$]*")
 
+_HUMP = re.compile(r"[a-z][A-Z]")
+
 _BANNER = re.compile(
     r"code generated by|@generated|auto-?generated|automatisch erzeugt|do not (?:edit|modify)|produced automatically|"
     r"generated from \w+|machine-written|emitted by \w+|generated by \w+", re.I)
@@ -83,8 +87,30 @@ class NameModel:
                 t[g] = t.get(g, 0) + n
                 c = self.contexts.setdefault(name, {})
                 c[g[:-1]] = c.get(g[:-1], 0) + n
+        # what names of the language tell on average: the model's cross-entropy on the names that it was trained on
+        self.reference: dict[str, tuple[float, float]] = {}
+        for lang, grams in self.grams.items():
+            contexts = self.contexts[lang]
+            total = sum(n * self._cost(n, contexts[g[:-1]]) for g, n in grams.items())
+            names, chars = sum(n for g, n in grams.items() if g[-1] == "."), sum(grams.values())
+            self.reference[lang] = total / max(1, names), total / max(1, chars)
         self.memo: dict[tuple[str, str], tuple[float, int]] = {}
 
+    @staticmethod
+    def _cost(n: int, context: int) -> float:
+        return -math.log2((n + 0.5) / (context + 20.0))
+
+    def mangled(self, names: Counter, lang: str) -> bool:
+        """Whether a file's identifiers are far from what those of its language tell."""
+        lang = lang if lang in self.grams else ""
+        total = chars = 0.0
+        for x, k in names.items():
+            b, n = self.bits(x, lang)
+            total += b * k
+            chars += n * k
+        per_name, per_char = self.reference.get(lang, (0.0, 0.0))
+        return total / max(1, names.total()) <= POOR * per_name or total / max(1.0, chars) >= RICH * per_char > 0
+
     def bits(self, name: str, lang: str) -> tuple[float, int]:
         """(total bits, characters) of an identifier."""
         lang = lang if lang in self.grams else ""
@@ -96,8 +122,7 @@ class NameModel:
         grams, contexts = self.grams.get(lang, {}), self.contexts.get(lang, {})
         total, n = 0.0, 0
         for g in trigrams(name):
-            p = (grams.get(g, 0) + 0.5) / (contexts.get(g[:-1], 0) + 20.0)
-            total -= math.log2(p)
+            total += self._cost(grams.get(g, 0), contexts.get(g[:-1], 0))
             n += 1
         self.memo[key] = (total, n)
         return total, n
@@ -108,8 +133,23 @@ def trigrams(name: str) -> list[str]:
     return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
 
-def mask(line: str) -> str:
-    return _LETTERS.sub("w", _NUMBERS.sub("9", line)).strip()
+def mask(text: str) -> str:
+    return _LETTERS.sub("w", _NUMBERS.sub("9", text))
+
+
+_FEW = np.zeros((256, 3))  # digits, letters, blanks of ASCII
+for _c in range(128):
+    _FEW[_c] = chr(_c).isdigit(), chr(_c).isalpha(), chr(_c).isspace()
+_WIDE = re.compile(r"[^\x00-\x7f]")
+
+
+def shares(text: str) -> np.ndarray:
+    """Shares of digits, letters and blanks."""
+    counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256) @ _FEW
+    if not text.isascii():
+        for c, k in Counter(_WIDE.findall(text)).items():
+            counts += k * np.array([c.isdigit(), c.isalpha(), c.isspace()])
+    return counts / max(1, len(text))
 
 
 def line_hashes(text: str) -> list[int]:
@@ -122,38 +162,52 @@ def line_hashes(text: str) -> list[int]:
     return sorted(out)
 
 
-def judge(text: str, path: str, model: NameModel) -> tuple[list[str], bool]:
+_COMMENT_LINE = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--|\"{3}|'{3}|;|%)")
+
+
+# Languages whose words are those of a standard, so that minifiers leave them as they are (fixed values).
+_GIVEN_NAMES = frozenset("css scss less html xml svg".split())
+_QUOTES = ('"' * 3, "'" * 3)
+
+
+def leading_comment(lines: list[str]) -> str:
+    """The comment block at the top, whatever its length, and at least the first six lines."""
+    k = 0
+    inside = False
+    while k < len(lines) and (inside or _COMMENT_LINE.match(lines[k])):
+        s = lines[k].strip()
+        if not inside and s.startswith(("/*", "<!--")) or not inside and s[:3] in _QUOTES and s.count(s[:3]) == 1:
+            inside = True
+        elif inside and (s.endswith(_QUOTES) or "*/" in s or "-->" in s):
+            inside = False
+        if inside and ("*/" in s or "-->" in s):
+            inside = False
+        k += 1
+    return "\n".join(lines[: max(6, k)])
+
+
+def judge(text: str, path: str, model: NameModel, names: Counter | None = None) -> tuple[list[str], bool]:
     """(kinds that the file shows by itself, whether it carries evidence of foreign origin)."""
     t = text.lstrip("﻿").replace("\r", "")
     lines = [x for x in t.split("\n") if x.strip()]
     if not lines:
         return [], False
+    names = Counter(names_of(text)) if names is None else names
     kinds = set()
-    head = "\n".join(lines[:6])
+    head = leading_comment(lines)
     lang = language(path)
     n = len(t)
-    digits, letters, blanks = (sum(map(test, t)) / n for test in (str.isdigit, str.isalpha, str.isspace))
+    digits, letters, blanks = shares(t)
     blob = sum(len(m[0]) for m in _BLOB_LINE.finditer(t)) / n
-    names = names_of(t)
-    short = sum(len(x) <= 2 for x in names) / max(1, len(names))
-    total = chars = 0
-    for x in names:
-        b, k = model.bits(x, lang)
-        total += b
-        chars += k
-    entropy = total / max(1, chars)
-    templates = Counter(mask(x) for x in lines)
+    templates = Counter(x.strip() for x in mask("\n".join(lines)).split("\n"))
     body = len(lines)
     commonest, times = templates.most_common(1)[0]
     # a few imports or returns in a short file are no template
     top = times / body if times >= MIN_TEMPLATE and (len(commonest) > 4 or times >= 4 * MIN_TEMPLATE) else 0.0
-    mean_line = n / body
     if blob >= BLOB:
         kinds.add("data")
-    if len(names) >= MIN_NAMES and blob < BLOB:
-        dense = blanks < 0.1 and mean_line > 120
-        if short >= SHORT_NAMES and mean_line > 100 or dense or entropy >= ENTROPY and short >= SHORT_NAMES and blanks < 0.16:
-            kinds.add("minified")
+    elif names.total() >= MIN_NAMES and (blanks < DENSE_BLANKS or n / body > DENSE_LINES) and (lang in _GIVEN_NAMES or model.mangled(names, lang)):
+        kinds.add("minified")
     if body >= MIN_LINES and "data" not in kinds:
         if top >= TEMPLATE or top >= TEMPLATE_WITH_BANNER and _BANNER.search(head):
             kinds.add("data" if digits >= DIGITS or letters < LETTERS else "generated")
@@ -170,7 +224,8 @@ def _count_names(batches):
     for b in batches:
         names: dict[str, Counter] = {}
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            names.setdefault(language(path), Counter()).update(names_of(text))
+            if len(text) <= ORDINARY * (1 + text.count("\n")):  # dense files teach nothing about how names are written
+                names.setdefault(language(path), Counter()).update(names_of(text))
         counts: Counter = Counter()
         for lang, seen in names.items():
             for name, k in seen.items():
@@ -195,10 +250,12 @@ def train(code: DataFrame, max_languages: int = 64) -> NameModel:
     return NameModel({(r["lang"], r["gram"]): r["n"] for r in rows})
 
 
-def style_of(names: list[str]) -> str:
+def style_of(names: Counter) -> str:
     """The commonest way in which names of several words are written: snake, camel, pascal or none."""
-    c = Counter("snake" if "_" in x.strip("_") else "pascal" if x[:1].isupper() else "camel"
-                for x in names if "_" in x.strip("_") or re.search(r"[a-z][A-Z]", x))
+    c: Counter = Counter()
+    for x, k in names.items():
+        if "_" in x.strip("_") or not x.islower() and _HUMP.search(x):
+            c["snake" if "_" in x.strip("_") else "pascal" if x[:1].isupper() else "camel"] += k
     return c.most_common(1)[0][0] if c else "none"
 
 
@@ -214,11 +271,12 @@ def unwritten(files: DataFrame) -> DataFrame:
         for b in batches:
             kinds, foreign, lines, styles = [], [], [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
-                k, f = judge(text, path, shared.value)
+                names = Counter(names_of(text))
+                k, f = judge(text, path, shared.value, names)
                 kinds.append(k)
                 foreign.append(f)
                 lines.append(line_hashes(text))
-                styles.append(f"{language(path)}:{style_of(names_of(text))}")
+                styles.append(f"{language(path)}:{style_of(names)}")
             yield pa.RecordBatch.from_arrays(
                 [b.column("path"), b.column("repo"), b.column("sha256"), b.column("updated_at"), pa.array(kinds, pa.list_(pa.string())),
                  pa.array(foreign), pa.array(lines, pa.list_(pa.int64())), pa.array(styles, pa.string())],

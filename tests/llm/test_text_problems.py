@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,37 @@ def test_unwritten(spark):
     assert sources.unwritten(files(spark, rows).limit(0)).count() == 0
 
 
+WRITTEN = """def load_reader(source_path, default_encoding):
+    reader_options = read_options(source_path)
+    if reader_options is None:
+        raise ValueError("no options for " + source_path)
+    return open_reader(reader_options, default_encoding)
+"""
+
+
+def model_of(texts):
+    counts = Counter(("js", g) for t in texts for n in sources.names_of(t) for g in sources.trigrams(n))
+    return sources.NameModel(counts)
+
+
+def test_names_decide_what_is_minified():
+    model = model_of([WRITTEN.replace("reader", w) for w in ("reader", "parser", "folder", "window")] * 20)
+    one_line = " ".join((WRITTEN * 4).split())  # dense, but with names that somebody wrote
+    mangled = ";".join(f"function {a}({b},{c}){{{a}={b}+{c};return {a}({c})}}" for a in "abcdefg" for b in "xyz" for c in "uvw")
+    assert sources.judge(mangled, "r/src/a.js", model)[0] == ["minified"]
+    assert "minified" not in sources.judge(one_line, "r/src/a.js", model)[0]
+    assert "minified" not in sources.judge(mangled, "r/src/a.js", sources.NameModel({}))[0]  # without the model nothing is
+
+
+def test_attribution_below_a_long_licence():
+    licence = "/*\n" + "\n".join(f" * clause {i} of the terms under which this may be used" for i in range(60)) + "\n * taken from the Gantry project\n */\n"
+    body = "\n".join(f"export function step{i}(value) {{ return value * {i} + other{i}; }}" for i in range(3))
+    model = model_of([WRITTEN])
+    kinds, foreign = sources.judge(licence + body, "r/src/a.js", model)
+    assert foreign and "vendored" in kinds
+    assert sources.judge(body + "\n" + "\n" * 3 + licence, "r/src/a.js", model)[1] is False
+
+
 def test_lines_are_counted_by_repository_exactly(spark):
     lines = [f"the ranks of group {i} stay in the order in which they came to us from reader {i}" for i in range(4)]
     own = lambda n: "\n".join(lines + [f"const x{n} = {n};"])
