@@ -1,15 +1,18 @@
 """Noise in text of scanned pages: broken words, misread characters, running headers, page numbers.
 
 Lines of a page are labelled by a hidden Markov model with the states header, top number, body, break and bottom number;
-its observations are layout features (form of the line, place on the page, relative length, and whether the line stands at
-the top of several pages of the same paper). Emissions and transitions start from documented counts and are refined by
-Viterbi training on a bounded sample of pages (``sample``); the best path gives the labels, body lines are put together
-into paragraphs between breaks, words broken at line ends are joined, misread words restored.
+its observations are layout features: the form of the line, its place on the page, at how many tops of the paper it stands (one,
+two, three or more), and whether a number fits the numbering of the paper (the commonest difference between printed number and
+page index). So a year or the last cell of a table at the end of a page is body, and a title that runs over two pages only goes
+out of the text although the definition of the ``header`` defect asks for three. Emissions and transitions start from documented
+counts and are refined by Viterbi training on a bounded sample of pages (``sample``); the best path gives the labels, body lines
+are put together into paragraphs between breaks, words broken at line ends are joined, misread words restored.
 
 Statistics over all rows: the words of all contents with their counts (combined inside each map task before the shuffle),
 of which those are kept that make up a share ``SHARE`` of all words, at most 1 / SHARE of them, so that the table that
 workers get has a proven bound; and the top lines of each paper, folded so that case, page numbers and misread characters do not matter, counted
-by (paper, line): a paper that holds a third of all pages is as many groups as it has different top lines.
+by (paper, line), and the numbers by (paper, difference): a paper that holds a third of all pages is as many groups as it has
+different top lines, counted with map-side combine and joined back in salted parts.
 
 Defined results: rows that are no pages, null ids and null contents take no part; repeated rows of one id count once; pages
 without page index have no next page (a word broken at their end is judged alone); equal counts: the smaller word;
@@ -31,7 +34,9 @@ from ..session import checkpoint, spread
 SHARE = 2e-6
 MIN_COUNT = 3
 RATIO = 12
-SAMPLE = 600
+SAMPLE = 2000
+SALT = 16
+LONGEST = 1000  # characters from which a run is no word
 MIN_TOPS = 3
 
 # -- misread characters -----------------------------------------------------------------------------------------------
@@ -188,6 +193,19 @@ def without_number(line: str) -> tuple[str, bool]:
     return line.strip(), False
 
 
+_ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def printed_number(line: str) -> int | None:
+    """The value of a line that is a page number and nothing else."""
+    if not _NUMBER_LINE.match(line):
+        return None
+    if m := re.search(r"\d+", line):
+        return int(m[0])
+    v = [_ROMAN_VALUES[c] for c in re.search(rf"(?:{_ROMAN})(?=\W*\Z)", line)[0].lower()]
+    return sum(-a if a < max(v[i + 1 :], default=0) else a for i, a in enumerate(v))
+
+
 def top_key(text: str) -> str | None:
     """Folded first line, None where it is blank or a number alone."""
     line = text.split("\n", 1)[0]
@@ -198,39 +216,43 @@ def top_key(text: str) -> str | None:
 
 HEADER, TOP, BODY, BREAK, BOTTOM = range(5)
 FORMS, PLACES = 4, 4  # number, blank, title, prose; first, second, middle, last
+NONE, FITS, STRANGE = 0, 1, 2  # what is known of a number: nothing, it fits the paper's numbering, it does not
 _START = np.array([40.0, 15.0, 60.0, 2.0, 0.1])
 _MOVES = np.array([  # counts per 100 lines, to: header, top, body, break, bottom
     [0.1, 15, 80, 5, 0.5], [0.1, 0.1, 90, 10, 0.1], [0.05, 0.05, 85, 10, 5], [0.05, 0.05, 85, 5, 10], [0.05, 0.05, 0.1, 5, 0.1]])
 _FORM = np.array([[0.5, 0.1, 70, 30], [98, 0.1, 1, 1], [0.6, 0.1, 4, 95], [0.1, 99, 0.1, 0.1], [98, 0.1, 1, 1]])
 _PLACE = np.array([[99, 0.1, 0.1, 0.5], [50, 49, 0.05, 1], [5, 8, 82, 5], [1, 5, 90, 1], [0.5, 0.5, 0.02, 99]])
-_TOPPED = np.array([[1, 99], [99, 1], [99.9, 0.1], [99.9, 0.1], [99.9, 0.1]])  # not / standing at several tops
+_TOPPED = np.array([[1, 19, 80], [98, 1, 1], [99.6, 0.3, 0.1], [99.8, 0.1, 0.1], [99.8, 0.1, 0.1]])  # at one, two, more tops
+_FIT = np.array([[98, 1, 1], [40, 59.98, 0.02], [90, 1, 9], [98, 1, 1], [40, 59.98, 0.02]])
 _PRIOR = 20.0
 
 
-def features(lines: list[str], is_top: bool) -> np.ndarray:
-    """[lines, 3]: form, place, whether the line stands at several tops."""
+def features(lines: list[str], tops: int = 0, first: int = NONE, last: int = NONE) -> np.ndarray:
+    """[lines, 4]: form, place, at how many tops the line stands (0 to 2), how its number fits."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
-    last = filled[-1] if filled else -1
-    out = np.zeros((len(lines), 3), dtype=np.int64)
+    end = filled[-1] if filled else -1
+    out = np.zeros((len(lines), 4), dtype=np.int64)
     for i, x in enumerate(lines):
         s = x.strip()
+        fit = NONE
         if not s:
             form = 1
         elif _NUMBER_LINE.match(s):
             form = 0
+            fit = first if i == filled[0] else last if i == end else NONE
         else:
             title, numbered = without_number(s)
             ws = title.split()
             upper = sum(w[0].isupper() or not w[0].isalpha() for w in ws)
             form = 2 if ws and len(ws) <= 12 and (numbered or s[-1] not in ".,;:") and upper >= len(ws) - 2 and upper * 2 >= len(ws) else 3
-        place = 0 if i == 0 else 3 if i == last else 1 if i == 1 else 2
-        out[i] = form, place, int(is_top and i == 0)
+        place = 0 if i == 0 else 3 if i == end else 1 if i == 1 else 2
+        out[i] = form, place, tops if i == 0 else 0, fit
     return out
 
 
 class LineModel:
     def __init__(self):
-        self.counts = [_START.copy(), _MOVES.copy(), _FORM.copy(), _PLACE.copy(), _TOPPED.copy()]
+        self.counts = [_START.copy(), _MOVES.copy(), _FORM.copy(), _PLACE.copy(), _TOPPED.copy(), _FIT.copy()]
         self._tables()
 
     def _tables(self):
@@ -238,37 +260,60 @@ class LineModel:
         for c in self.counts:
             c = np.atleast_2d(c)
             logs.append(np.log(c / c.sum(axis=1, keepdims=True)))
-        self.start, self.moves, self.form, self.place, self.topped = logs[0][0], *logs[1:]
+        self.start, self.moves, self.emit = logs[0][0], logs[1], logs[2:]
 
     def label(self, f: np.ndarray) -> np.ndarray:
-        """The best path."""
-        n = len(f)
-        emit = self.form[:, f[:, 0]].T + self.place[:, f[:, 1]].T + self.topped[:, f[:, 2]].T
-        score, back = self.start + emit[0], np.zeros((n, 5), dtype=np.int64)
-        for i in range(1, n):
-            step = score[:, None] + self.moves
-            back[i] = step.argmax(0)
-            score = step.max(0) + emit[i]
-        path = np.zeros(n, dtype=np.int64)
-        path[-1] = score.argmax()
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return path
+        return self.labels([f])[0]
+
+    def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The best path of each page; pages of like length are rows of one array."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(pages)
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+        at = 0
+        while at < len(order):
+            longest, n = len(pages[order[at]]), 1
+            while at + n < len(order) and (n + 1) * len(pages[order[at + n]]) <= 100_000:
+                longest = len(pages[order[at + n]])
+                n += 1
+            pick = order[at : at + n]
+            at += n
+            sizes = np.array([len(pages[i]) for i in pick])
+            f = np.zeros((n, longest, 4), dtype=np.int64)
+            for r, i in enumerate(pick):
+                f[r, : len(pages[i])] = pages[i]
+            emit = sum(table.T[f[:, :, k]] for k, table in enumerate(self.emit))
+            score = self.start + emit[:, 0]
+            back, final = np.zeros((n, longest, 5), dtype=np.int8), np.where((sizes == 1)[:, None], score, 0.0)
+            for t in range(1, longest):
+                step = score[:, :, None] + self.moves
+                back[:, t] = step.argmax(1)
+                score = step.max(1) + emit[:, t]
+                final[sizes == t + 1] = score[sizes == t + 1]
+            path = np.zeros((n, longest), dtype=np.int64)
+            state = final.argmax(1)
+            rows = np.arange(n)
+            for t in range(longest - 1, -1, -1):
+                inside = t < sizes
+                path[inside, t] = state[inside]
+                if t:
+                    state = np.where(inside, back[rows, t, state], state)
+            for r, i in enumerate(pick):
+                out[i] = path[r, : sizes[r]]
+        return out
 
     def train(self, pages: list[np.ndarray], rounds: int = 2) -> LineModel:
         """Viterbi training; the documented start counts as ``_PRIOR`` pages."""
         if not pages:
             return self
-        prior = [_START, _MOVES, _FORM, _PLACE, _TOPPED]
+        prior = [_START, _MOVES, _FORM, _PLACE, _TOPPED, _FIT]
         for _ in range(rounds):
             new = [np.atleast_2d(p) / np.atleast_2d(p).sum(axis=1, keepdims=True) * _PRIOR for p in prior]
-            for f in pages:
+            for f, path in zip(pages, self.labels(pages)):
                 if not len(f):
                     continue
-                path = self.label(f)
                 new[0][0, path[0]] += 1
                 np.add.at(new[1], (path[:-1], path[1:]), 1)
-                for k in range(3):
+                for k in range(4):
                     np.add.at(new[2 + k], (path, f[:, k]), 1)
             self.counts = [new[0][0], *new[1:]]
             self._tables()
@@ -293,14 +338,13 @@ def broken_word(left: str, right: str, lexicon: Lexicon) -> tuple[bool, str]:
 class Page:
     """Labels, defects and repaired text of one page."""
 
-    def __init__(self, text: str, is_top: bool, model: LineModel, lexicon: Lexicon, following: str | None = None):
-        lines = text.split("\n")
-        path = model.label(features(lines, is_top))
+    def __init__(self, lines: list[str], path: np.ndarray, tops: int, lexicon: Lexicon, following: str | None = None):
         self.defects: set[str] = set()
-        if path[0] == HEADER and not is_top:  # by definition a running header stands on several pages
+        if path[0] == HEADER and tops == 0:  # a line of one page is no running header, whatever it looks like
             path[0] = BODY
         if path[0] == HEADER:
-            self.defects.add("header")
+            if tops == 2:  # by definition: three pages or more
+                self.defects.add("header")
             if without_number(lines[0])[1]:
                 self.defects.add("page_number")
             for w in without_number(lines[0])[0].split():
@@ -402,13 +446,8 @@ def _agrees(tail: str, true: str | None) -> bool:
     return true is None or true.startswith(tail.lower())
 
 
-def first_body_word(text: str, is_top: bool, model: LineModel) -> str | None:
-    lines = text.split("\n")[:6]
-    path = model.label(features([*lines, "x y.", "x y."], is_top))
-    for line, state in zip(lines, path):
-        if state == BODY and line.strip():
-            return line.split()[0]
-    return None
+def first_body_word(lines: list[str], path: np.ndarray) -> str | None:
+    return next((line.split()[0] for line, state in zip(lines, path) if state == BODY and line.strip()), None)
 
 
 # -- plan ---------------------------------------------------------------------------------------------------------------
@@ -421,7 +460,9 @@ def lexicon_of(contents: DataFrame, share: float = SHARE, min_count: int = MIN_C
         counts: Counter = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.pop("", None)
+            words, ns = [None, *counts], [counts.total(), *counts.values()]  # the total stands under null
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64())], names=["word", "n"])
             counts.clear()
             return out
 
@@ -438,9 +479,9 @@ def lexicon_of(contents: DataFrame, share: float = SHARE, min_count: int = MIN_C
         yield flush()
 
     words = spread(contents.toDF("content")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = checkpoint(words.where((F.col("n") >= min_count) & (F.length("word") <= 60) & (F.col("word") != "")))  # read twice
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") >= max(min_count, int(share * total)))
+    words = checkpoint(words.where(F.col("word").isNull() | (F.col("n") >= min_count) & (F.length("word") <= LONGEST)))  # read twice
+    total = words.where("word is null").agg(F.sum("n")).first()[0] or 0
+    kept = words.where(F.col("word").isNotNull() & (F.col("n") >= max(min_count, int(share * total))))
     return {r["word"]: r["n"] for r in kept.collect()}
 
 
@@ -458,32 +499,62 @@ def scan_noise(
         (F.lit(True) if is_page is None else is_page).alias("is_page"),
     ).where("is_page and id is not null and content is not null and paper is not null").drop("is_page").repartition(parts, "id").dropDuplicates(["id"])
 
-    def keys(batches):
+    pages = checkpoint(pages)  # read by the marks, the training, the heads and the last pass
+
+    def marks_of(batches):
+        """What counts in a paper: the folded first line, and what the numbers at either end differ from the page index."""
         for b in batches:
-            lines = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([top_key(x) for x in lines], pa.string())], names=["id", "paper", "key"])
-
-    line = F.substring_index("content", "\n", 1)
-    tops = pages.select("id", "paper", line.alias("line")).mapInArrow(keys, "id string, paper string, key string").where("key is not null")
-    often = tops.groupBy("paper", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TOPS).select("paper", "key")
-    at_top = tops.join(often, ["paper", "key"]).select("id", F.lit(True).alias("is_top"))
-    marked = pages.join(at_top, "id", "left").withColumn("is_top", F.coalesce("is_top", F.lit(False)))
-
-    training = (
-        marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 16)) < F.lit(_share_of(df, sample))).select("content", "is_top").limit(2 * sample).collect()
+            out = []
+            for i, paper, page, text in zip(*(b.column(n).to_pylist() for n in ("id", "paper", "page", "content"))):
+                if (k := top_key(text)) is not None:
+                    out.append((i, paper, "top", k))
+                if page is not None:
+                    filled = [x for x in text.split("\n") if x.strip()]
+                    for kind, line in (("first", filled[:1]), ("last", filled[1:][-1:])):
+                        if line and (v := printed_number(line[0])) is not None:
+                            out.append((i, paper, kind, str(v - page)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ((),) * 4)], names=["id", "paper", "kind", "key"])
+
+    marks = checkpoint(pages.mapInArrow(marks_of, "id string, paper string, kind string, key string"))
+    counts = marks.withColumn("what", F.when(F.col("kind") == "top", "top").otherwise("number")).groupBy("paper", "what", "key").agg(F.count("*").alias("n"))
+    tops = counts.where("what = 'top' and n > 1").select("paper", "what", "key", F.when(F.col("n") >= MIN_TOPS, 2).otherwise(1).alias("value"))
+    numbers = counts.where("what = 'number'")
+    usual = numbers.groupBy("paper").agg(F.max(F.struct("n", F.col("key").alias("k"))).alias("u")).where(F.col("u.n") >= MIN_TOPS)
+    numbers = numbers.join(usual, "paper").select("paper", "what", "key", F.when(F.col("key") == F.col("u.k"), FITS).otherwise(STRANGE).alias("value"))
+    known = tops.unionByName(numbers).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    of_pages = (
+        marks.withColumn("what", F.when(F.col("kind") == "top", "top").otherwise("number")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+        .join(known, ["paper", "what", "key", "salt"]).groupBy("id")
+        .agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("top", "first", "last")])
     )
-    model = LineModel().train([features(r["content"].split("\n"), r["is_top"]) for r in training])
+    marked = pages.join(of_pages, "id", "left").select(*pages.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("top", "first", "last")])
+
+    training = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 16)) < F.lit(_share_of(pages, sample))).select("content", "top", "first", "last").limit(2 * sample)
+    model = LineModel().train([features(r["content"].split("\n"), r["top"], r["first"], r["last"]) for r in training.collect()])
     shared = df.sparkSession.sparkContext.broadcast((lexicon, model))
 
+    def labelled(b, model):
+        cols = [b.column(n).to_pylist() for n in ("content", "top", "first", "last")]
+        lines = [t.split("\n") for t in cols[0]]
+        return lines, model.labels([features(x, *f) for x, *f in zip(lines, *cols[1:])]), cols[1]
+
     # the word with which the next page goes on, only for pages that end in a mark
-    ends_broken = rf"[{_MARK}][ \t]*(\n+[^\n]{{0,24}})?\s*\z"
+    ends_broken = rf"[{_MARK}][ \t]*(\n+[^\n]*)?\s*\z"
     open_ended = pages.where(F.col("page").isNotNull() & F.col("content").rlike(ends_broken)).select(
         F.col("id").alias("ending"), "paper", (F.col("page") + 1).alias("page"))
-    # one row per page number, combined before the shuffle, so that a number that many rows share meets each ending once
-    heads = marked.where("page is not null").groupBy("paper", "page").agg(
-        F.min(F.struct("id", F.substring_index("content", "\n", 6).alias("head"), "is_top")).alias("x"))
-    nexts = open_ended.join(heads, ["paper", "page"]).select(F.col("ending").alias("id"), F.col("x.head").alias("head"), F.col("x.is_top").alias("head_top"))
+    asked = marked.where("page is not null").join(open_ended.select("paper", "page").distinct(), ["paper", "page"], "left_semi")
+
+    def heads_of(batches):
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                b = whole.slice(s, 2000)
+                lines, paths, _ = labelled(b, shared.value[1])
+                words = [first_body_word(x, p) for x, p in zip(lines, paths)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("paper"), b.column("page"), pa.array(words, pa.string())], names=["id", "paper", "page", "word"])
+
+    # one row per page number, so that a number that many rows share meets each ending once
+    heads = asked.mapInArrow(heads_of, "id string, paper string, page int, word string").groupBy("paper", "page").agg(F.min(F.struct("id", "word")).alias("x"))
+    nexts = open_ended.join(heads, ["paper", "page"]).select(F.col("ending").alias("id"), F.col("x.word").alias("following"))
     wide = marked.join(nexts, "id", "left")
 
     def finish(batches):
@@ -493,10 +564,8 @@ def scan_noise(
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)
                 defects, texts = [], []
-                cols = [b.column(n).to_pylist() for n in ("content", "is_top", "head", "head_top")]
-                for text, top, head, head_top in zip(*cols):
-                    following = first_body_word(head, head_top, model) if head else None
-                    p = Page(text, top, model, lex, following)
+                for lines, path, top, word in zip(*labelled(b, model), b.column("following").to_pylist()):
+                    p = Page(lines, path, top, lex, word)
                     defects.append(sorted(p.defects))
                     texts.append(p.text)
                 yield pa.RecordBatch.from_arrays(

@@ -78,6 +78,33 @@ def test_fold_is_an_index_for_can_become():
         assert scans.can_become(w, seen) and scans.fold(w) == scans.fold(seen), (w, seen)
 
 
+def test_line_model_decides_between_numbers_of_the_page_and_of_the_text(spark):
+    words = "the small reader moves a long row of plain words over the table and then stops".split()
+    body = lambda i: "\n".join(" ".join(words[(i + j) % 8 : (i + j) % 8 + 6]) for j in range(5))
+    rows = [(f"p{i}", "paper", i, f"{body(i)}\n\n{i + 3}") for i in range(8) if i != 5]
+    rows.append(("p5", "paper", 5, f"{body(5)}\nand the year in which they came was\n1984"))  # ends with a number of the text
+    rows += [(f"q{i}", "other", i, f"The Shape of Long Tables\n{body(i)}") for i in range(2)]  # a title on two pages
+    rows += [(f"r{i}", "other", 10 + i, f"Some Words Alone {i}\n{body(i)}") for i in range(2)]
+    df = spark.createDataFrame(rows, "id string, paper string, page int, content string")
+    got = {r["id"]: r for r in scans.scan_noise(df, paper=F.col("paper"), index=F.col("page")).collect()}
+    assert all("page_number" in got[f"p{i}"]["defects"] for i in range(8) if i != 5)
+    assert got["p5"]["defects"] == [] and got["p5"]["text"].endswith("1984")
+    assert all(got[f"q{i}"]["defects"] == [] and "Shape" not in got[f"q{i}"]["text"] for i in range(2))
+    assert all("Alone" in got[f"r{i}"]["text"] for i in range(2))
+
+
+def test_viterbi_of_many_pages_is_that_of_each():
+    model = scans.LineModel()
+    pages = [scans.features(t.split("\n"), k % 3, k % 2, k % 3) for k, t in enumerate(["", "A Title\nsome words go on.\n\n12", "3\nwords here and there", "x\n" * 40 + "9", "\n\n"])]
+    for f, path in zip(pages, model.labels(pages)):
+        best = max(  # brute force over the last step of the recursion would not do: all paths of short pages
+            __import__("itertools").product(range(5), repeat=len(f)),
+            key=lambda q: model.start[q[0]] + sum(model.moves[a, b] for a, b in zip(q, q[1:])) + sum(t[s, f[i, k]] for i, s in enumerate(q) for k, t in enumerate(model.emit)),
+        ) if len(f) <= 5 else None
+        assert best is None or tuple(path) == best
+    assert [scans.printed_number(x) for x in ("- 12 -", "xiv", "page 3", "IX", "word", "1,2")] == [12, 14, 3, 9, None, None]
+
+
 @pytest.mark.parametrize("text,want", [
     ("a <b>bold</b> word", {"html"}), ("x &nbsp; y", {"html"}), ("AT&T; R&D", set()), ("A Map<string, number> holds", set()), ("a < 156 and b > 243", set()), ("end <div class=\"note", {"html"}),
     ("# Title\n\ntext", {"markdown"}), ("- 12 -", set()), ("see [it](./x.md)", {"markdown"}), ("Ticket #12 follows", set()), ("set max_size and min_size", set()), ("a * b * c", set()),
