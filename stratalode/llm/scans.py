@@ -222,11 +222,18 @@ _MOVES = np.array([  # counts per 100 lines, to: header, top, body, break, botto
     [0.1, 15, 80, 5, 0.5], [0.1, 0.1, 90, 10, 0.1], [0.05, 0.05, 85, 10, 5], [0.05, 0.05, 85, 5, 10], [0.05, 0.05, 0.1, 5, 0.1]])
 _FORM = np.array([[0.5, 0.1, 70, 30], [98, 0.1, 1, 1], [0.6, 0.1, 4, 95], [0.1, 99, 0.1, 0.1], [98, 0.1, 1, 1]])
 _PLACE = np.array([[99, 0.1, 0.1, 0.5], [50, 49, 0.05, 1], [5, 8, 82, 5], [1, 5, 90, 1], [0.5, 0.5, 0.02, 99]])
-_TOPPED = np.array([[1, 19, 80], [98, 1, 1], [99.6, 0.3, 0.1], [99.8, 0.1, 0.1], [99.8, 0.1, 0.1]])  # at one, two, more tops
+_TOPPED = np.array([[0.1, 0.3, 99.6], [98, 1, 1], [97, 2.9, 0.1], [99.8, 0.1, 0.1], [99.8, 0.1, 0.1]])  # at one, two, more tops
 _FIT = np.array([[98, 1, 1], [40, 59.98, 0.02], [90, 1, 9], [98, 1, 1], [40, 59.98, 0.02]])
 _PRIOR = 20.0
 
 
+def is_title(line: str) -> bool:
+    title, numbered = without_number(line)
+    ws = title.split()
+    upper = sum(w[0].isupper() or not w[0].isalpha() for w in ws)
+    return bool(ws) and len(ws) <= 12 and (numbered or line[-1] not in ".,;:") and upper >= len(ws) - 2 and upper * 2 >= len(ws)
+
+
 def features(lines: list[str], tops: int = 0, first: int = NONE, last: int = NONE) -> np.ndarray:
     """[lines, 4]: form, place, at how many tops the line stands (0 to 2), how its number fits."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
@@ -241,10 +248,7 @@ def features(lines: list[str], tops: int = 0, first: int = NONE, last: int = NON
             form = 0
             fit = first if i == filled[0] else last if i == end else NONE
         else:
-            title, numbered = without_number(s)
-            ws = title.split()
-            upper = sum(w[0].isupper() or not w[0].isalpha() for w in ws)
-            form = 2 if ws and len(ws) <= 12 and (numbered or s[-1] not in ".,;:") and upper >= len(ws) - 2 and upper * 2 >= len(ws) else 3
+            form = 2 if is_title(s) else 3
         place = 0 if i == 0 else 3 if i == end else 1 if i == 1 else 2
         out[i] = form, place, tops if i == 0 else 0, fit
     return out
@@ -340,7 +344,7 @@ class Page:
 
     def __init__(self, lines: list[str], path: np.ndarray, tops: int, lexicon: Lexicon, following: str | None = None):
         self.defects: set[str] = set()
-        if path[0] == HEADER and tops == 0:  # a line of one page is no running header, whatever it looks like
+        if path[0] == HEADER and (tops == 0 or tops == 1 and not is_title(lines[0].strip())):  # nor is a sentence on two pages
             path[0] = BODY
         if path[0] == HEADER:
             if tops == 2:  # by definition: three pages or more
