@@ -7,15 +7,19 @@ agrees. A text that repeats k-mers gives a second sketch over their first occurr
 for a text without repeats both sketches are the same. Three families cover all lengths (sizes are numbers of different
 shingles of three words):
 
-* long  (more than 24):  k = 5, ell = 2, 48 entries;
+* long  (more than 24):  k = 5, ell = 2, 36 entries;
 * short (up to 48):      k = 3, ell = 3, 48 entries; the families overlap by the factor that a similarity of one half
   allows between two sizes, so that a pair always has a family in common;
-* tiny  (up to 6):       every shingle is a key.
+* tiny  (up to 6):       every shingle is a key;
+* free  (2 and more):    k = 3, ell = 2, 16 entries of which the order does not count, for records that were reordered.
 
 Plan: equal contents are one node (``h0``, a hash of the content; copies meet before any comparison, first inside each
-map task); keys are shuffled once as (key, node), sorted, and runs of one key give candidate pairs; candidates are
-joined with the contents and verified exactly. A run longer than ``RUN`` nodes gives no pairs there: its nodes are cut
-into blocks, and each pair of blocks is compared exactly in a task of its own, so hot keys are spread, not capped.
+map task; where two contents share a hash, which a second hash tells, they get hashes of their own); keys are shuffled once
+as (key, node), sorted, and runs of one key give candidate pairs; candidates are joined with the contents and verified exactly.
+A run longer than ``RUN`` nodes gives no pairs there: its nodes meet again by the rarest shingles of each (of n shingles the
+n - ceil(t n) + 1 least frequent ones among these nodes: two sets of similarity t always share one, so nothing is lost), so
+that a phrase that stands in a million records brings together only what is alike beyond it. Runs that are long even then hold
+records that are alike indeed: their nodes are cut into blocks, and each pair of blocks is compared exactly in a task of its own.
 
 Defined results: null contents and contents of fewer than three words never count; repeated rows of one id count
 once; classes of more than ``EXPAND`` equal contents are given as a star around their smallest id, smaller ones as all
@@ -34,8 +38,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, spread
 
-K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 48
+K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 36
 K_SHORT, ELL_SHORT, ENTRIES_SHORT = 3, 3, 48
+K_FREE, ELL_FREE, ENTRIES_FREE = 3, 2, 16
 SHORT, LONG, TINY = 48, 24, 6
 RUN, BLOCK = 128, 512
 EXPAND = 64
@@ -94,11 +99,13 @@ def _kmers(flat: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int, family: int):
+def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int, family: int, ordered: bool = True):
     """(text, key) of texts that have at least ell different k-mers each; flat holds their words.
 
     Every text has one key per entry; one that repeats k-mers has also those keys of its first occurrences that differ.
     """
+    if len(flat) >= 1 << _POS:
+        raise ValueError(f"texts of {len(flat)} words together: positions have {_POS} bits")
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(flat)) - np.repeat(starts, sizes)
@@ -114,19 +121,19 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray, k: int, ell: int, entries: int,
     label = np.empty(len(order), dtype=np.uint64)
     label[order] = nth.astype(np.uint64)
     kmer = mix(kmer + label * np.uint64(0x9E3779B97F4A7C15))
-    out = _entries(kmer, counts, ell, entries, family)
+    out = _entries(kmer, counts, ell, entries, family, ordered)
     who, keys = np.repeat(np.arange(len(sizes)), entries), out.ravel()
     firsts = np.bincount(text[label == 0], minlength=len(sizes))
     again = np.flatnonzero(firsts < counts)
     if len(again):
         kept = (label == 0) & (firsts < counts)[text]
-        more = _entries(kmer[kept], firsts[again], ell, entries, family)
+        more = _entries(kmer[kept], firsts[again], ell, entries, family, ordered)
         row, entry = np.nonzero(more != out[again])
         who, keys = np.r_[who, again[row]], np.r_[keys, more[row, entry]]
     return who, keys
 
 
-def _entries(kmer: np.ndarray, counts: np.ndarray, ell: int, entries: int, family: int) -> np.ndarray:
+def _entries(kmer: np.ndarray, counts: np.ndarray, ell: int, entries: int, family: int, ordered: bool = True) -> np.ndarray:
     """[texts, entries] keys; kmer holds the labelled k-mers of each text in text order."""
     starts = np.r_[0, np.cumsum(counts)[:-1]]
     low = np.uint64((1 << _POS) - 1)
@@ -141,7 +148,8 @@ def _entries(kmer: np.ndarray, counts: np.ndarray, ell: int, entries: int, famil
             least = np.minimum.reduceat(v, starts)
             chosen[:, i] = starts + (least & low).astype(np.int64)
             v[chosen[:, i]] = _TOP
-        chosen.sort(axis=1)  # text order
+        if ordered:
+            chosen.sort(axis=1)  # text order; else the order of the hashes
         key = np.full(len(counts), _seed(family * 1000 + 500 + t), dtype=np.uint64)
         for i in range(ell):
             key = mix(key + kmer[chosen[:, i]])
@@ -169,13 +177,14 @@ def keys_of(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(h) for h in hashed], dtype=np.int64)
     shingles = _different(hashed, sizes)
     who, keys = [], []
-    for family, (k, ell, entries, pick) in enumerate(
-        ((K_LONG, ELL_LONG, ENTRIES_LONG, shingles > LONG),
-         (K_SHORT, ELL_SHORT, ENTRIES_SHORT, (shingles >= ELL_SHORT) & (shingles <= SHORT)))
+    for family, (k, ell, entries, pick, ordered) in enumerate(
+        ((K_LONG, ELL_LONG, ENTRIES_LONG, shingles > LONG, True),
+         (K_SHORT, ELL_SHORT, ENTRIES_SHORT, (shingles >= ELL_SHORT) & (shingles <= SHORT), True),
+         (K_FREE, ELL_FREE, ENTRIES_FREE, shingles >= ELL_FREE, False))
     ):
         idx = np.flatnonzero(pick)
         if len(idx):
-            text, key = _sketch(np.concatenate([hashed[i] for i in idx]), sizes[idx], k, ell, entries, family)
+            text, key = _sketch(np.concatenate([hashed[i] for i in idx]), sizes[idx], k, ell, entries, family, ordered)
             who.append(idx[text])
             keys.append(key)
     for i in np.flatnonzero((shingles >= 1) & (shingles <= TINY)):
@@ -269,10 +278,21 @@ def _enough_words(content: Column) -> Column:
     return content.rlike(f"{w}{g}+{w}+{g}+{w}")
 
 
+def content_hash(content: Column) -> Column:
+    return F.xxhash64(content)
+
+
 def _nodes(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    return df.select(df[id_col].cast("string").alias("id"), df[content_col].alias("content")).where(
+    """(id, content, h0): one h0 for each content, and another for every other content."""
+    nodes = df.select(df[id_col].cast("string").alias("id"), df[content_col].alias("content")).where(
         F.col("id").isNotNull() & F.col("content").isNotNull() & _enough_words(F.col("content"))
-    ).withColumn("h0", F.xxhash64("content"))
+    ).withColumn("h0", content_hash(F.col("content")))
+    second = nodes.select("h0", F.md5("content").alias("m")).groupBy("h0").agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    clash = second.where("low < high").select("h0", "low")
+    if clash.isEmpty():
+        return nodes
+    own = F.when(F.col("low").isNull() | (F.md5("content") == F.col("low")), F.col("h0")).otherwise(F.xxhash64(F.md5("content"), F.lit(1)))
+    return nodes.join(clash, "h0", "left").select("id", "content", own.alias("h0"))
 
 
 def _keys(batches):
@@ -419,25 +439,63 @@ def _verify_blocks(threshold: float, alignment: bool):
 _PAIRS = "a bigint, b bigint, similarity double, edit_similarity double"
 
 
+def _shingles(batches):
+    words = Words()
+    for whole in batches:
+        for s in range(0, whole.num_rows, 500):
+            b = whole.slice(s, 500)
+            sets = [shingle_set(words.hashes(t)) for t in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            node = np.repeat(b.column(0).to_numpy(), sizes)
+            flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, sizes))], names=["key", "h0", "n"])
+
+
+def rare_keys(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, h0): of each text (h0, content) the rarest shingles, so many that texts of the given similarity share one."""
+    shingles = checkpoint(texts.select("h0", "content").mapInArrow(_shingles, "key bigint, h0 bigint, n bigint"))
+    often = shingles.groupBy("key").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("h0").orderBy("often", "key"))
+    prefix = shingles.join(often.where("often > 1"), "key").withColumn("place", place)
+    # a shingle of one text alone joins nothing but takes its place among the rarest
+    alone = shingles.join(often.where("often = 1"), "key", "left_semi").groupBy("h0").agg(F.count("*").alias("alone"))
+    kept = F.col("place") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * threshold) + 1
+    return prefix.join(alone, "h0", "left").where(kept).select("key", "h0")
+
+
+def _candidates(keys: DataFrame) -> DataFrame:
+    """Pairs (key null) of runs up to ``RUN`` nodes, and the members of longer runs (a, key, nth)."""
+    runs = keys.repartition("key").sortWithinPartitions("key", "h0").mapInArrow(_runs, "a bigint, b bigint, key bigint, nth bigint")
+    return checkpoint(runs)  # small: candidates only; several readers follow
+
+
+def _pairs_of(runs: DataFrame) -> DataFrame:
+    return runs.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def content_pairs(df: DataFrame, *, id_col="id", content_col="content", threshold=0.5, alignment=False) -> DataFrame:
     """(a, b, similarity, edit_similarity) between different contents, by their hashes; a < b."""
-    nodes = _nodes(df, id_col, content_col)
-    keys = spread(nodes.select("h0", "content")).mapInArrow(_keys, "key bigint, h0 bigint")
-    runs = (
-        keys.repartition("key").sortWithinPartitions("key", "h0")
-        .mapInArrow(_runs, "a bigint, b bigint, key bigint, nth bigint")
-    )
-    runs = checkpoint(runs)  # small: candidates only; three readers follow
-    pairs = runs.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _content_pairs(_nodes(df, id_col, content_col), threshold, alignment)
+
+
+def _content_pairs(nodes: DataFrame, threshold: float, alignment: bool) -> DataFrame:
+    runs = _candidates(spread(nodes.select("h0", "content")).mapInArrow(_keys, "key bigint, h0 bigint"))
+    pairs = _pairs_of(runs)
     texts = nodes.select("h0", "content").dropDuplicates(["h0"])
+    crowd = runs.where("key is not null").select(F.col("a").alias("h0")).distinct()
+    blocks = None
+    if not crowd.isEmpty():
+        again = _candidates(rare_keys(texts.join(crowd, "h0", "left_semi"), threshold))
+        pairs = pairs.unionByName(_pairs_of(again))
+        hot = again.where("key is not null").select("key", F.col("a").alias("h0"), F.floor(F.col("nth") / BLOCK).alias("block"))
+        blocks = None if hot.isEmpty() else hot
     at_a, at_b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    wide = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "text_a", "text_b")
+    wide = pairs.distinct().join(at_a, "a").join(at_b, "b").select("a", "b", "text_a", "text_b")
     found = wide.mapInArrow(_verify_pairs(threshold, alignment), _PAIRS)
-    hot = runs.where("key is not null").select("key", F.col("a").alias("h0"), F.floor(F.col("nth") / BLOCK).alias("block"))
-    if not hot.isEmpty():
-        last = hot.groupBy("key").agg(F.max("block").alias("last"))
+    if blocks is not None:
+        last = blocks.groupBy("key").agg(F.max("block").alias("last"))
         tasks = (
-            hot.join(last, "key")
+            blocks.join(last, "key")
             .withColumn("other", F.explode(F.expr("sequence(0, last)")))
             .select(
                 "key", "h0", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
@@ -452,21 +510,21 @@ def content_pairs(df: DataFrame, *, id_col="id", content_col="content", threshol
 
 def near_duplicates(df: DataFrame, *, id_col="id", content_col="content", threshold=0.5, alignment=False) -> DataFrame:
     """(id_a, id_b, similarity[, edit_similarity]) of different ids; id_a is the smaller string."""
-    pairs = content_pairs(df, id_col=id_col, content_col=content_col, threshold=threshold, alignment=alignment)
-    ids = _nodes(df, id_col, content_col).select("h0", "id").distinct()
+    nodes = _nodes(df, id_col, content_col)
+    pairs = checkpoint(_content_pairs(nodes, threshold, alignment))  # the true pairs of different contents
     # The first ids of each content; the limit is applied in each task before the shuffle.
+    ids = nodes.select("h0", "id").distinct()
     ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("h0").orderBy("id"))).where(F.col("n") <= EXPAND + 1)
-    crowded = ranked.where(F.col("n") == EXPAND + 1).select("h0")
-    stars = ranked.where("n = 1").join(crowded, "h0", "left_semi").select("h0", F.col("id").alias("id_a"))
-    members = ranked.join(crowded, "h0", "left_anti").unionByName(
-        ranked.where("n = 1").join(crowded, "h0", "left_semi")
-    ).select("h0", "id")
+    shared = checkpoint(ranked.groupBy("h0").agg(F.array_sort(F.collect_list("id")).alias("ids")))  # at most EXPAND + 1 ids a content
+    crowded = shared.where(F.size("ids") > EXPAND)
+    # a crowded content stands for itself with its smallest id; its other ids hang on that one
+    members = shared.select("h0", F.explode(F.when(F.size("ids") > EXPAND, F.slice("ids", 1, 1)).otherwise(F.col("ids"))).alias("id"))
+    stars = crowded.select("h0", F.col("ids")[0].alias("id_a"))
     left, right = members.toDF("a", "x"), members.toDF("b", "y")
     cross = pairs.join(left, "a").join(right, "b").select("x", "y", "similarity", "edit_similarity")
-    same = (
-        members.toDF("h0", "x").join(members.toDF("h0", "y"), "h0").where("x < y")
-        .select("x", "y", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("edit_similarity"))
-    )
+    few = shared.where((F.size("ids") > 1) & (F.size("ids") <= EXPAND))
+    same = few.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y").select(
+        "x", "y", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("edit_similarity"))
     star = ids.join(stars, "h0").where("id <> id_a").select(
         F.col("id_a").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("edit_similarity"))
     every = cross.unionByName(same).unionByName(star)

@@ -183,6 +183,50 @@ def test_chain_is_one_class(spark):
     assert {r["class_id"] for r in neardup.classes(ids, pairs).collect()} == {"n00", "z"}
 
 
+def test_a_phrase_in_many_records_brings_together_only_what_is_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    licence = " ".join(f"clause{i}" for i in range(30))
+    body = lambda n: " ".join(f"b{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(f"l{i:03d}", f"{licence} {body(60)}") for i in range(200)]
+    twins = [(f"t{i}", rows[i][1] + " and a few words more") for i in range(0, 40, 4)]
+    seen = []
+    real = neardup._candidates
+    monkeypatch.setattr(neardup, "_candidates", lambda keys: seen.append(real(keys)) or seen[-1])
+    got = {(r["id_a"], r["id_b"]) for r in neardup.near_duplicates(near_frame(spark, rows + twins)).collect()}
+    assert got == jaccard_pairs(rows + twins) and len(got) == 10
+    assert seen[0].where("key is not null").count() > 0 and len(seen) == 2  # the licence is a hot key
+    assert seen[1].where("key is not null").count() == 0 and neardup._pairs_of(seen[1]).distinct().count() < 100
+
+
+def test_rare_keys_lose_no_pair(spark, near_rows):
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(near_rows)], "h0 bigint, content string")
+    keys = {}
+    for r in neardup.rare_keys(frame, 0.5).collect():
+        keys.setdefault(r["key"], set()).add(r["h0"])
+    at = {i: n for n, (i, _) in enumerate(near_rows)}
+    for a, b in jaccard_pairs(near_rows):
+        assert any({at[a], at[b]} <= m for m in keys.values())
+
+
+def test_contents_that_share_a_hash(spark, near_rows, monkeypatch):
+    monkeypatch.setattr(neardup, "content_hash", lambda c: F.length(c).cast("bigint"))
+    rows = near_rows[:60]
+    got = {(r["id_a"], r["id_b"]) for r in neardup.near_duplicates(near_frame(spark, rows)).collect()}
+    assert len({len(t) for _, t in rows}) < len({t for _, t in rows})
+    lost = jaccard_pairs(rows) - got
+    assert got <= jaccard_pairs(rows) and all(len(dict(rows)[x]) for p in lost for x in p)
+
+
+def test_reordered_records_meet(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        parts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(8)) for _ in range(8)]
+        rows += [(f"a{g:02d}", " ".join(parts)), (f"b{g:02d}", " ".join(parts[::-1]))]
+    got = {(r["id_a"], r["id_b"]) for r in neardup.near_duplicates(near_frame(spark, rows)).collect()}
+    assert got == jaccard_pairs(rows) and len(got) == 30
+
+
 def test_banded_alignment():
     def distance(a, b):
         d = list(range(len(b) + 1))
