@@ -8,10 +8,10 @@ for a text without repeats both sketches are the same. Three families cover all
 shingles of three words):
 
 * long  (more than 24):  k = 5, ell = 2, 36 entries;
-* short (up to 48):      k = 3, ell = 3, 48 entries; the families overlap by the factor that a similarity of one half
+* short (up to 48):      k = 3, ell = 3, 36 entries; the families overlap by the factor that a similarity of one half
   allows between two sizes, so that a pair always has a family in common;
 * tiny  (up to 6):       every shingle is a key;
-* free  (2 and more):    k = 3, ell = 2, 16 entries of which the order does not count, for records that were reordered.
+* free  (3 and more):    k = 3, ell = 3, 16 entries of which the order does not count, for records that were reordered.
 
 Plan: equal contents are one node (``h0``, a hash of the content; copies meet before any comparison, first inside each
 map task; where two contents share a hash, which a second hash tells, they get hashes of their own); keys are shuffled once
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, spread
 
 K_LONG, ELL_LONG, ENTRIES_LONG = 5, 2, 36
-K_SHORT, ELL_SHORT, ENTRIES_SHORT = 3, 3, 48
-K_FREE, ELL_FREE, ENTRIES_FREE = 3, 2, 16
+K_SHORT, ELL_SHORT, ENTRIES_SHORT = 3, 3, 36
+K_FREE, ELL_FREE, ENTRIES_FREE = 3, 3, 16
 SHORT, LONG, TINY = 48, 24, 6
 RUN, BLOCK = 128, 512
 EXPAND = 64
