@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,6 +89,17 @@ def segments(text: str) -> list[tuple[str, str, str | None, int, int]]:
     return out
 
 
+def _cut_at(text: str, most: int) -> int:
+    """The last blank before ``most``; where there is none, ``most`` less the marks that belong to the character before."""
+    at = text.rfind(" ", most // 2, most + 1)
+    if at > 0:
+        return at
+    at = most
+    while at > 1 and (unicodedata.combining(text[at]) or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"):
+        at -= 1
+    return at
+
+
 def split_long(text: str, limit: int) -> list[str]:
     """Paragraphs, then sentences, packed up to the limit; a trailing fragment without a full stop is kept."""
     out, held = [], ""
@@ -96,8 +108,9 @@ def split_long(text: str, limit: int) -> list[str]:
         for u in units:
             while tokens(u) > limit:
                 out += [held.strip()] if held.strip() else []
-                out.append(u[: limit * 4])
-                u, held = u[limit * 4 :], ""
+                cut = _cut_at(u, limit * 4)
+                out.append(u[:cut].rstrip())
+                u, held = u[cut:].lstrip(), ""
             if held and tokens(held + u) > limit:
                 out.append(held.strip())
                 held = ""
@@ -138,7 +151,96 @@ def pack(parts: list[tuple], most: int = MAX_TOKENS, least: int = MIN_TOKENS) ->
     return out
 
 
-def semantic_chunks(df: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS, least: int = MIN_TOKENS) -> DataFrame:
+SPECIAL = ("code", "table", "formula")
+
+
+def adaptive(parts: list[tuple], most: int = MAX_TOKENS, least: int = MIN_TOKENS) -> list[tuple]:
+    """Segments joined while they are below ``least`` and fit; specials always stand alone and whole, longer texts are split at
+    paragraphs and sentences."""
+    out: list[tuple] = []
+    held: list[tuple] = []
+
+    def flush() -> None:
+        nonlocal held
+        if held:
+            out.append((held[0][0] if len({h[0] for h in held}) == 1 else "text", "\n\n".join(h[1] for h in held), held[0][2], held[0][3], held[-1][4]))
+        held = []
+
+    for p in parts:
+        if p[0] in SPECIAL:
+            flush()
+            out.append(p)
+        elif tokens(p[1]) > most:
+            flush()
+            out += [(p[0], piece, p[2], p[3], p[4]) for piece in split_long(p[1], most)]
+        else:
+            if held and (sum(tokens(h[1]) for h in held) >= least or sum(tokens(h[1]) for h in held) + tokens(p[1]) > most):
+                flush()
+            held.append(p)
+    flush()
+    return out
+
+
+def by_level(text: str, level: int, subs: bool = True, kind: str = "section") -> list[tuple]:
+    """(kind, content, heading, heading level, first line, last line, number of the parent or None): the sections whose heading is of
+    ``level`` or above, each up to the next such heading; with ``subs`` the specials inside follow their section as chunks of their own."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    parts = segments(text)
+    heads = [(p[3], len(p[1]) - len(p[1].lstrip("#")), p[2]) for p in parts if p[0] == "heading"]
+    starts = [h for h in heads if h[1] <= level]
+    out: list[tuple] = []
+    for k, (line, lv, title) in enumerate(starts):
+        end = starts[k + 1][0] - 1 if k + 1 < len(starts) else len(lines)
+        while end > line and not lines[end - 1].strip():
+            end -= 1
+        body = "\n".join(lines[line - 1 : end])
+        me = len(out)
+        out.append((kind, body, title, lv, line, end, None))
+        if subs:
+            out += [(p[0], p[1], title, lv, p[3], p[4], me) for p in parts if p[0] in SPECIAL and line <= p[3] <= end]
+    return out
+
+
+def multi_scale(text: str) -> list[tuple]:
+    """Sections of levels 1 and 2 with their specials, then paragraphs of level 4; a heading that a coarser level has is not repeated.
+
+    As ``by_level``, with the level as the first field; headings are told apart by their line, so equal titles stay."""
+    out: list[tuple] = []
+    seen: set[int] = set()
+    for level, subs, kind in ((1, True, "section"), (2, True, "section"), (4, False, "paragraph")):
+        rows = by_level(text, level, subs, kind)
+        keep = {i for i, r in enumerate(rows) if r[6] is None and r[4] not in seen}
+        number = {}
+        for i, r in enumerate(rows):
+            if i in keep or r[6] in keep:
+                number[i] = len(out)
+                out.append((level, *r[:6], number.get(r[6]) if r[6] is not None else None))
+        seen |= {rows[i][4] for i in keep}
+    return out
+
+
+def level_chunks(df: DataFrame, id_col: str, text_col: str, level: int | None = None, paper_col: str | None = None) -> DataFrame:
+    """(doc, chunk_id, parent_id, level, kind, heading, first_line, last_line, content) by one level, or by all scales for None.
+
+    Contents start with ``[paper][section][KIND]`` where a paper's name is given; ids are hashes of document, number and content."""
+    paper = F.col(paper_col) if paper_col else F.lit(None)
+    rows = df.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("t"), paper.cast("string").alias("paper")).where("doc is not null and t is not null")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for doc, t, name in f.itertuples(index=False):
+                found = multi_scale(t) if level is None else [(level, *r) for r in by_level(t, level)]
+                ids = ["chunk_" + hashlib.sha256(f"{doc}\0{i}\0{r[2]}".encode()).hexdigest()[:16] for i, r in enumerate(found)]
+                for i, (lv, kind, body, title, _, a, b, parent) in enumerate(found):
+                    head = f"[{name}][{title or '-'}][{kind.upper()}] " if isinstance(name, str) else ""
+                    out.append((doc, ids[i], None if parent is None else ids[parent], lv, kind, title, a, b, head + body))
+            yield pd.DataFrame(out, columns=["doc", "chunk_id", "parent_id", "level", "kind", "heading", "first_line", "last_line", "content"])
+
+    return rows.mapInPandas(run, "doc string, chunk_id string, parent_id string, level int, kind string, heading string, first_line int, last_line int, content string")
+
+
+def semantic_chunks(df: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS, least: int = MIN_TOKENS, packing=None) -> DataFrame:
     """(doc, chunk_id, ordinal, kind, heading, first_line, last_line, tokens, content); ids are unique per document and ordinal."""
     rows = df.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("t")).where("doc is not null and t is not null")
 
@@ -146,7 +248,7 @@ def semantic_chunks(df: DataFrame, id_col: str, text_col: str, most: int = MAX_T
         for f in frames:
             out = []
             for doc, t in f.itertuples(index=False):
-                for i, (kind, body, head, a, b) in enumerate(pack(segments(t), most, least)):
+                for i, (kind, body, head, a, b) in enumerate((packing or pack)(segments(t), most, least)):
                     cid = "chunk_" + hashlib.sha256(f"{doc}\0{i}\0{body}".encode()).hexdigest()[:16]
                     out.append((doc, cid, i, kind, head, a, b, tokens(body), body))
             yield pd.DataFrame(out, columns=["doc", "chunk_id", "ordinal", "kind", "heading", "first_line", "last_line", "tokens", "content"])

@@ -243,7 +243,7 @@ def clones(lines: DataFrame, window: int = 6) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line_no")
     grams = body.select("path", "line_no", F.collect_list(F.trim("content")).over(w.rowsBetween(0, window - 1)).alias("g"), F.row_number().over(w).alias("n"))
     hashed = grams.where(F.size("g") == window).select("path", "line_no", "n", F.xxhash64(F.array_join("g", "\n")).alias("h"))
-    often = hashed.groupBy("h").agg(F.count("*").alias("c"), F.approx_count_distinct("path").alias("files")).where("c > 1")
+    often = hashed.groupBy("h").agg(F.count("*").alias("c"), F.count_distinct("path").alias("files")).where("c > 1")
     marked = hashed.join(often, "h")
     runs = marked.withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("path").orderBy("n")))
     return runs.groupBy("path", "run").agg(F.min("line_no").alias("first_line"), (F.count("*") + window - 1).alias("lines"), F.max("files").alias("files")).drop("run")

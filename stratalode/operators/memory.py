@@ -50,8 +50,10 @@ def write(m: DataFrame) -> DataFrame:
     ok = gate(m).where("rejected is null").drop("rejected")
     newest = Window.partitionBy("id").orderBy(F.desc("created_ms"), "content")
     one = ok.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
-    per_user = Window.partitionBy("layer", "user_id").orderBy(F.desc("created_ms"), "id")
-    capped = one.withColumn("_rn", F.row_number().over(per_user)).where((F.col("layer") != "episodic") | (F.col("_rn") <= EPISODIC_CAP)).drop("_rn")
+    # only the capped layer is ranked: a limit per user that each task applies before the shuffle; the others are not sorted
+    per_user = Window.partitionBy("user_id").orderBy(F.desc("created_ms"), "id")
+    episodic = one.where("layer = 'episodic'").withColumn("_rn", F.row_number().over(per_user)).where(F.col("_rn") <= EPISODIC_CAP).drop("_rn")
+    capped = one.where("layer <> 'episodic' or layer is null").unionByName(episodic)
     bad = conflicts(capped).select("id", F.lit("disputed").alias("_s")).distinct()
     return capped.join(bad, "id", "left").withColumn("status", F.coalesce("_s", F.col("status"))).drop("_s")
 
@@ -84,6 +86,61 @@ def search(m: DataFrame, similarity: Column, as_of_ms: int, k: int) -> DataFrame
     return ranked.where(F.col("_rn") <= quota).select("id", "layer", "similarity", "score")
 
 
+def near_existing(new: DataFrame, m: DataFrame, *, threshold: float = 0.9, k: int = 5, block: int = 4096) -> DataFrame:
+    """(id, existing, similarity): for each new row (id, layer, user_id, vector) up to ``k`` rows of the table in the same layer and
+    scope whose cosine is at least ``threshold``; what a write looks at before it adds a memory.
+
+    The new rows are a write batch. They are cut into blocks of ``block``, each sent once over the table as one matrix: the table is
+    never shuffled, each task keeps its best k per new row, and only those meet. Null and zero vectors have no neighbours.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = m.sparkSession
+    rows = m.select(F.concat_ws("\0", "layer", "user_id").alias("scope"), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    found = []
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    held: list[tuple[str, str, list[float]]] = []
+
+    def scan(block_rows):
+        shared = spark.sparkContext.broadcast(block_rows)
+
+        def run(batches):
+            names, scopes = [r[0] for r in shared.value], np.array([r[1] for r in shared.value])
+            q = unit(np.array([r[2] for r in shared.value], dtype=np.float64))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.array(b.column(2).to_pylist(), dtype=object)
+                good = [i for i, v in enumerate(x) if v is not None and len(v) == q.shape[1]]
+                if not good:
+                    continue
+                data = unit(np.array([list(x[i]) for i in good], dtype=np.float64))
+                ids, own = [b.column(1)[i].as_py() for i in good], np.array([b.column(0)[i].as_py() for i in good])
+                sims = np.round(q @ data.T, 6)
+                i, j = np.nonzero((sims >= threshold) & (scopes[:, None] == own[None, :]))
+                keep = [(names[a], ids[c], float(sims[a, c])) for a, c in zip(i.tolist(), j.tolist()) if names[a] != ids[c]]
+                yield pa.RecordBatch.from_arrays([pa.array([t[n] for t in keep], kind) for n, kind in enumerate((pa.string(), pa.string(), pa.float64()))],
+                                                 names=["id", "existing", "similarity"])
+
+        found.append(rows.mapInArrow(run, "id string, existing string, similarity double"))
+
+    for r in new.select(F.col("id").cast("string"), F.concat_ws("\0", "layer", "user_id"), F.col("vector").cast("array<double>")).where("vector is not null").toLocalIterator():
+        held.append((r[0], r[1], list(r[2])))
+        if len(held) == block:
+            scan(held)
+            held = []
+    if held:
+        scan(held)
+    if not found:
+        return spark.createDataFrame([], "id string, existing string, similarity double")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "existing")
+    return every.distinct().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
 def collectable(m: DataFrame, as_of_ms: int, days: int = GC_DAYS, accesses: int = GC_ACCESSES, need_both: bool = False) -> DataFrame:
     """Rows that upkeep deletes: old or little used; with ``need_both`` old and little used."""
     old = F.col("last_ms") < as_of_ms - days * DAY
@@ -132,6 +189,7 @@ def compress(m: DataFrame, chars: int = 500) -> DataFrame:
 PREFERENCES = (
     r"(?i)\bI (?:prefer|like|love|want) ([^.!?\n]{2,80})", r"(?i)\bI (?:don't like|dislike|hate|avoid) ([^.!?\n]{2,80})", r"(?i)\bI (?:always|usually|often) ([^.!?\n]{2,80})",
     r"(?i)\bI never ([^.!?\n]{2,80})", r"(?i)\bmy favou?rite \w+ is ([^.!?\n]{2,80})", r"(?i)\bI (?:use|work with) ([^.!?\n]{2,80})",
+    r"(?i)\b(?:user )?(?:prefers|likes to use|likes|enjoys) ([^.,;!?\n]{2,80})",
 )
 DEFINITION = r"\b([A-Z]?[a-z]+ [a-z]+) (?:is|are) ([a-z][^.!?,;\n]{1,60})"
 
@@ -146,3 +204,10 @@ def facts(df: DataFrame, id_col: str, text: Column, confidence: float = 0.5) ->
     two = base.select("id", F.explode(F.arrays_zip(subjects.alias("s"), objects.alias("o"))).alias("z")).select(
         "id", F.lit("definition").alias("kind"), F.col("z.s").alias("subject"), F.trim("z.o").alias("object"), F.lit(min(0.6, confidence + 0.1)).alias("confidence"))
     return one.unionByName(two).distinct()
+
+
+def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
+    """One page of an ordered list, with ``has_more`` on each row: one row beyond the page is looked at, nothing is counted."""
+    ranked = rows.orderBy(*order).limit(offset + size + 1).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    more = F.max("_rn").over(Window.partitionBy(F.lit(0))) > offset + size  # over the looked-at rows only
+    return ranked.withColumn("has_more", more).where((F.col("_rn") > offset) & (F.col("_rn") <= offset + size)).drop("_rn")

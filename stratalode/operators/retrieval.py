@@ -40,7 +40,7 @@ def usable(v: Column, dims: int = DIMS) -> Column:
 
 def scored(df: DataFrame, vector: Column, query) -> DataFrame:
     """Rows with their cosine to a query vector, rounded to a fixed precision so that ties are ties; unusable vectors leave."""
-    q = V.literal_vector(query)
+    q = V.literal_vector(query)  # a constant: its norm is folded once, not for each row
     return df.where(usable(vector, len(query))).withColumn("score", F.round(V.cosine(vector, q), 6))
 
 
@@ -128,6 +128,67 @@ def normalise_scores(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("normal", F.round(value, 6))
 
 
+def local(df: DataFrame, vector: Column, query, k: int, bundle_ids: list[str]) -> DataFrame:
+    """The best k of the given bundles only; the scope is a filter that is applied before anything is scored."""
+    return top_k(scored(df.where(F.col("bundle_id").isin(list(bundle_ids))), vector, query), k, "id")
+
+
+MODES = ("naive", "local", "global", "hybrid", "hierarchical")
+
+
+def retrieve(df: DataFrame, mode: str, query_text: str, query_vector, k: int, bundle_ids: list[str] | None = None) -> DataFrame:
+    """(id, score) of chunks (id, content, v, level, content_key, bundle_id) by one of the modes.
+
+    naive: quotas per level; local: the same within bundles; global: quotas on the coarse level only; hybrid: twice as many by
+    cosine, reranked with character n-grams; hierarchical: coarse search picks contents, fine search stays inside them.
+    """
+    if mode not in MODES:
+        raise ValueError(f"modes are {', '.join(MODES)}")
+    if mode == "local" and not bundle_ids:
+        raise ValueError("local retrieval needs bundles")
+    if mode == "hybrid":
+        return hybrid(df.where("content is not null"), query_text, query_vector, k).select("id", "score")
+    rows = df.where(F.col("bundle_id").isin(list(bundle_ids))) if bundle_ids else df
+    s = scored(rows, F.col("v"), query_vector)
+    if mode == "hierarchical":
+        return hierarchical(s, k, k).select("id", "score")
+    return quota_top(s, "level", {"l1": k} if mode == "global" else raw_quotas(k)).select("id", "score")
+
+
+def complete(seeds: DataFrame, chunks: DataFrame, needs_more: Column, hops: int = 2) -> DataFrame:
+    """(id, score, hop): the seeds, and for as many hops the neighbours by position of every chunk that points elsewhere.
+
+    ``chunks`` gives (id, content, content_key, chunk_index). Each hop starts from what the hop before added.
+    """
+    found = seeds.select("id", "score", F.lit(0).alias("hop"))
+    last = chunks.join(seeds.select("id"), "id", "left_semi")
+    for hop in range(1, hops + 1):
+        ask = last.where(needs_more).select("content_key", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")).distinct()
+        near = chunks.join(ask, ["content_key", "chunk_index"], "left_semi").join(found.select("id"), "id", "left_anti")
+        found = found.unionByName(near.select("id", F.lit(HOP).alias("score"), F.lit(hop).alias("hop")))
+        last = near
+    return found
+
+
+def list_by_keys(chunks: DataFrame) -> DataFrame:
+    """(key, l1, l2, l3): finer chunks counted under the content that the first of their candidate keys names.
+
+    ``chunks`` gives (id, level, content_hash, repo_id, bundle_id, paper_id). A coarse chunk is listed under its hash, else repository,
+    bundle or paper; a finer one tries hash, repository at hash, repository, bundle, paper, in this order. One equi-join on the key;
+    the first rank that met anything wins by an aggregate.
+    """
+    part = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(name + ":"), c))
+    h, r = F.col("content_hash"), F.col("repo_id")
+    at = F.when(r.isNotNull() & h.isNotNull(), F.concat(F.lit("repo:"), r, F.lit("@"), F.substring(h, 1, 12)))
+    keys = F.array(part("hash", h), at, part("repo", r), part("bundle", F.col("bundle_id")), part("paper", F.col("paper_id")))
+    listed = chunks.where("level = 'l1'").select(F.coalesce(part("hash", h), part("repo", r), part("bundle", F.col("bundle_id")), part("paper", F.col("paper_id"))).alias("key")).where("key is not null")
+    listed = listed.groupBy("key").agg(F.count("*").alias("l1"))
+    tries = chunks.where("level in ('l2', 'l3')").select("id", "level", F.posexplode(keys).alias("rank", "key")).where("key is not null")
+    met = tries.join(listed.select("key"), "key").groupBy("id", "level").agg(F.min_by("key", "rank").alias("key"))
+    finer = met.groupBy("key").agg(F.count_if(F.col("level") == "l2").alias("l2"), F.count_if(F.col("level") == "l3").alias("l3"))
+    return listed.join(finer, "key", "left").select("key", "l1", F.coalesce("l2", F.lit(0)).alias("l2"), F.coalesce("l3", F.lit(0)).alias("l3"))
+
+
 def prune(df: DataFrame, strategy: str, value: float, gain: str = "gain", tie: str = "id") -> DataFrame:
     """threshold: gain >= value, may be empty; topk: at most value; ratio: the best ceil(n * value), one at least."""
     if strategy == "threshold":

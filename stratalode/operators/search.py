@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,14 +38,113 @@ def glob_regex(glob: str) -> str:
 
 def query_terms(query: str, limit: int = 12) -> list[list[str]]:
     """Quoted tokens of the query, each as the phrase of its terms; at most ``limit`` tokens."""
-    import unicodedata
-
     tokens = re.findall(r"[^\W_][\w./-]*[\w]|[\w./-]{2,}", query)[:limit]
     plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
     phrases = [[t for t in re.findall(r"[^\W_]+", plain(tok))] for tok in tokens]
     return [p for p in phrases if p]
 
 
+def parse_query(text: str):
+    """The raw syntax after ``fts:`` as a tree: ("and" | "or" | "not", left, right) over phrases (lists of terms).
+
+    Words, quoted phrases, parentheses, AND, OR and NOT in capitals; NOT binds closest, then AND (also between neighbours), then OR.
+    A malformed query is a ValueError.
+    """
+    tokens = re.findall(r'"[^"]*"|[()]|[^\s()"]+', text)
+    at = 0
+
+    def look():
+        return tokens[at] if at < len(tokens) else None
+
+    def take():
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def either():
+        left = both()
+        while look() == "OR":
+            take()
+            left = ("or", left, both())
+        return left
+
+    def both():
+        left = without()
+        while look() not in (None, ")", "OR", "NOT"):
+            if look() == "AND":
+                take()
+            left = ("and", left, without())
+        return left
+
+    def without():
+        left = unit()
+        while look() == "NOT":
+            take()
+            left = ("not", left, unit())
+        return left
+
+    def unit():
+        t = look()
+        if t is None or t in ("AND", "OR", "NOT", ")"):
+            raise ValueError(f"a term is missing in {text!r}")
+        take()
+        if t == "(":
+            inner = either()
+            if look() != ")":
+                raise ValueError(f"a parenthesis is open in {text!r}")
+            take()
+            return inner
+        plain = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+        phrase = re.findall(r"[^\W_]+", plain)
+        if not phrase:
+            raise ValueError(f"no term in {t!r}")
+        return phrase
+
+    tree = either()
+    if look() is not None:
+        raise ValueError(f"{look()!r} is left over in {text!r}")
+    return tree
+
+
+def matches(terms: Column, tree) -> Column:
+    """Whether the terms of a row satisfy a parsed query."""
+    if isinstance(tree, tuple):
+        op, a, b = tree
+        left, right = matches(terms, a), matches(terms, b)
+        return left & right if op == "and" else left | right if op == "or" else left & ~right
+    if len(tree) == 1:
+        return F.array_contains(terms, tree[0])
+    # terms hold no blanks, so a phrase is a substring between blanks
+    return F.contains(F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")), F.lit(" " + " ".join(tree) + " "))
+
+
+def raw_search(lines: DataFrame, query: str) -> DataFrame:
+    """(path, line_no) of the lines that satisfy a raw query; a narrow filter."""
+    tree = parse_query(query.removeprefix("fts:"))
+    return lines.select("path", "line_no", analyse(F.col("content")).alias("ts")).where(matches(F.col("ts"), tree)).select("path", "line_no")
+
+
+def update_index(store, files: DataFrame) -> str | None:
+    """Brings a durable line index up to date: only new and changed files are analysed, removed or older states do not count.
+
+    ``store`` is a :class:`~stratalode.core.manifest.ManifestStore`; files give (path, bytes, sha256, text), one row per path.
+    """
+    def process(todo: DataFrame) -> DataFrame:
+        from .ingest import normal_text
+
+        texts = files.join(todo.select("path"), "path", "left_semi")
+        rows = texts.select("path", F.posexplode(F.split(normal_text(F.col("text")), "\n")).alias("at", "content")).select("path", (F.col("at") + 1).alias("line_no"), "content")
+        postings, lengths = build_index(rows)
+        return postings.join(lengths, ["path", "line_no"])
+
+    return store.run(files.select("path", "bytes", F.col("sha256").alias("checksum")), process)
+
+
+def indexed_terms(store) -> DataFrame:
+    """(term, files, occurrences) of the present state of the index."""
+    return store.output().groupBy("term").agg(F.count_distinct("path").alias("files"), F.sum("tf").alias("occurrences"))
+
+
 def build_index(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings: term, path, line_no, tf), (lengths: path, line_no, dl). tf is counted inside the row: no shuffle."""
     base = lines.select("path", "line_no", analyse(F.col("content")).alias("ts"))

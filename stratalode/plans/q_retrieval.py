@@ -17,7 +17,8 @@ def _query(spark, d):
 
 def _chunks(spark, d):
     m = F.col("metadata")
-    return table(spark, d, "chunks").dropDuplicates(["id"]).select(
+    rows = table(spark, d, "chunks").dropDuplicates(["id"])
+    return rows.select(
         "id", "content", F.col("embedding").alias("v"), F.substring(facts.collection_level(m), 1, 2).alias("level"), m["parent_chunk_id"].alias("parent"),
         m["bundle_id"].alias("bundle_id"), m["content_hash"].alias("content_hash"), m["chunk_index"].alias("chunk_index"), m["source_type"].alias("source_type"),
         F.coalesce(m["paper_id"], m["bundle_id"]).alias("content_key"))
