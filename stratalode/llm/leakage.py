@@ -19,6 +19,7 @@ are not carried.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -223,16 +224,15 @@ def leaks(
     long = items.select(
         F.col(item_col).cast("long").alias("item"), F.explode(F.array(*[F.col(f) for f in fields])).alias("text")
     ).where("item is not null and text is not null")
-    blocks, now, size = [], [], 0
-    for r in long.orderBy("item").toLocalIterator():  # streams; one block in memory per broadcast
+    out, now, size = [], [], 0
+    for r in long.orderBy("item").toLocalIterator():  # streams; a block leaves the driver's memory as soon as it is broadcast
         now.append((r["item"], r["text"]))
         size += len(r["text"])
         if size >= block_chars:
-            blocks.append(now)
+            out.append(_block(spark, docs, now, id_col, text_col, window, shard_words))
             now, size = [], 0
-    if now or not blocks:
-        blocks.append(now)
-    out = [_block(spark, docs, b, id_col, text_col, window, shard_words) for b in blocks]
+    if now or not out:
+        out.append(_block(spark, docs, now, id_col, text_col, window, shard_words))
     found = out[0]
     for o in out[1:]:
         found = found.unionByName(o)
@@ -241,11 +241,22 @@ def leaks(
     return found
 
 
+_BUILT: dict[str, Phrases] = {}
+
+
+def _phrases(key: str, items, window: int) -> Phrases:
+    """The phrases of a block, built once in each worker process; only the latest block is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Phrases(items(), window)
+    return _BUILT[key]
+
+
 def _block(spark, docs, items, id_col, text_col, window, shard_words) -> DataFrame:
-    shared = spark.sparkContext.broadcast(items)
+    shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        phrases = Phrases(shared.value, window)
+        phrases = _phrases(key, lambda: shared.value, window)
         symbol, known = phrases.symbol.get, phrases.symbol
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()),
                             ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])

@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from ..session import spread
@@ -32,7 +33,7 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary family (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SHIFT = 24
+_SHIFT = 42  # rank and position in one number: 20 and 42 bits, more than any text has bytes
 _MASK = (1 << _SHIFT) - 1
 _INF = np.iinfo(np.int64).max
 _CACHE_LIMIT = 400_000
@@ -277,15 +278,22 @@ def tokenizer(ranks_path: str = DEFAULT_RANKS) -> Bpe:
     return _LOADED[ranks_path]
 
 
+def _near(ranks_path: str) -> str:
+    """The rank file on this machine: at its path, or where the job's own copy was put."""
+    return ranks_path if os.path.exists(ranks_path) else SparkFiles.get(os.path.basename(ranks_path))
+
+
 def encode(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", ranks_path: str = DEFAULT_RANKS
 ) -> DataFrame:
     """(id, ids) of every row; a narrow map over the two columns it reads, no shuffle."""
     slim = spread(df.select(df[id_col], df[text_col]))
     kind = slim.schema[id_col].dataType.simpleString()
+    if os.path.exists(ranks_path):  # goes with the job to workers that do not have it
+        df.sparkSession.sparkContext.addFile(ranks_path)
 
     def run(batches):
-        bpe = tokenizer(ranks_path)
+        bpe = tokenizer(_near(ranks_path))
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
