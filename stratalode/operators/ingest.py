@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 MAX_FILE_BYTES = 512 * 1024
 MAX_TOTAL_BYTES = 50 * 1024 * 1024
 
@@ -76,9 +78,16 @@ def ingest_chain(files: DataFrame, max_file: int = MAX_FILE_BYTES, max_total: in
     size = F.coalesce(F.col("bytes"), F.lit(0))
     base = files.select("path", "repo", size.alias("bytes"), F.substring("text", 1, 8192).contains("\0").alias("nul"), F.col("text").isNull().alias("missing"))
     first = base.withColumn("own", F.when(F.col("missing"), "unreadable").when(F.col("bytes") > max_file, "size").when(F.col("nul"), "binary"))
-    w = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum(F.when(F.col("own").isNull(), F.col("bytes")).otherwise(0)).over(w)
-    out = first.withColumn("running_bytes", running)
+    # running totals in two levels, so that a repository that holds a third of all files is not sorted in one task:
+    # ranges of (repo, path) are summed, their offsets are a window over few rows, and each range is summed by itself
+    counted = F.when(F.col("own").isNull(), F.col("bytes")).otherwise(0)
+    ranges = checkpoint(first.withColumn("counted", counted).repartitionByRange("repo", "path").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("repo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("repo", "part").agg(F.sum("counted").alias("sum")).select("repo", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("repo", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranges.withColumn("inside", F.sum("counted").over(inside))
+    same = placed["repo"].eqNullSafe(offsets["repo"]) & (placed["part"] == offsets["part"])
+    out = placed.join(offsets, same).select(*[placed[c] for c in placed.columns], (F.col("inside") + F.col("offset")).alias("running_bytes"))
     return out.select(
         "path", "repo", F.coalesce("own", F.when(F.col("running_bytes") > max_total, "total").otherwise("kept")).alias("reason"), "running_bytes")
 

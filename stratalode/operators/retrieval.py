@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import checkpoint
 
 PARENT, SIBLING, HOP = 0.7, 0.6, 0.5
 DIMS = 64
@@ -122,6 +123,7 @@ def information_gain(candidates: DataFrame, query: str) -> DataFrame:
 
 def normalise_scores(df: DataFrame, col: str) -> DataFrame:
     """Min-max over all rows; the extremes are one aggregate, not a window over one partition."""
+    df = checkpoint(df)  # two passes over what may be a costly plan
     s = df.agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
     a, b = s["a"], s["b"]
     value = F.lit(1.0) if a is None or a == b else (F.col(col) - a) / (b - a)
@@ -193,5 +195,7 @@ def prune(df: DataFrame, strategy: str, value: float, gain: str = "gain", tie: s
     """threshold: gain >= value, may be empty; topk: at most value; ratio: the best ceil(n * value), one at least."""
     if strategy == "threshold":
         return df.where(F.col(gain) >= value)
+    if strategy == "ratio":
+        df = checkpoint(df)  # counted and ranked
     n = int(value) if strategy == "topk" else max(1, math.ceil(df.count() * value))
     return df.orderBy(F.desc(gain), tie).limit(n)

@@ -16,16 +16,21 @@ def _query(spark, d):
 
 
 def _chunks(spark, d):
+    return _written(spark, d).dropDuplicates(["id"])
+
+
+def _written(spark, d):
+    """Chunks as they were written: some ids stand in two identical rows."""
     m = F.col("metadata")
-    rows = table(spark, d, "chunks").dropDuplicates(["id"])
-    return rows.select(
+    return table(spark, d, "chunks").select(
         "id", "content", F.col("embedding").alias("v"), F.substring(facts.collection_level(m), 1, 2).alias("level"), m["parent_chunk_id"].alias("parent"),
         m["bundle_id"].alias("bundle_id"), m["content_hash"].alias("content_hash"), m["chunk_index"].alias("chunk_index"), m["source_type"].alias("source_type"),
         F.coalesce(m["paper_id"], m["bundle_id"]).alias("content_key"))
 
 
 def _scored(spark, d):
-    return retrieval.scored(_chunks(spark, d), F.col("v"), _query(spark, d))
+    # scored before the copies meet, so that neither vectors nor columns that nobody asks for are shuffled
+    return retrieval.scored(_written(spark, d), F.col("v"), _query(spark, d)).drop("v").dropDuplicates(["id"])
 
 
 def v1_cosine(spark, d):
@@ -34,13 +39,13 @@ def v1_cosine(spark, d):
 
 
 def r1_semantic(spark, d):
-    t = table(spark, d, "semantic_index").dropDuplicates(["id"])
-    return retrieval.top_k(retrieval.scored(t, F.col("vector"), _query(spark, d)), 20, "id").select("id", "score")
+    t = retrieval.scored(table(spark, d, "semantic_index"), F.col("vector"), _query(spark, d)).select("id", "score")
+    return retrieval.top_k(t.dropDuplicates(["id"]), 20, "id")
 
 
 def f6_kind_filter(spark, d):
-    t = table(spark, d, "semantic_index").dropDuplicates(["id"]).where((F.col("kind") == "code") & F.col("path").endswith(".py"))
-    return retrieval.top_k(retrieval.scored(t, F.col("vector"), _query(spark, d)), 10, "id").select("id", "score")
+    t = table(spark, d, "semantic_index").where((F.col("kind") == "code") & F.col("path").endswith(".py"))
+    return retrieval.top_k(retrieval.scored(t, F.col("vector"), _query(spark, d)).select("id", "score").dropDuplicates(["id"]), 10, "id")
 
 
 def r4_raw_hierarchical(spark, d):
@@ -58,8 +63,8 @@ def r8_hierarchical(spark, d):
 
 def r9_bundles(spark, d):
     m = F.col("metadata")
-    c = table(spark, d, "chunks").dropDuplicates(["id"]).where(retrieval.scope(m, bundle_ids=["bdl_434fda519065", "bdl_2c44fd71304c"], source_types=["readme", "overview"]))
-    return retrieval.top_k(retrieval.scored(c, F.col("embedding"), _query(spark, d)), 10, "id").select("id", "score")
+    c = table(spark, d, "chunks").where(retrieval.scope(m, bundle_ids=["bdl_434fda519065", "bdl_2c44fd71304c"], source_types=["readme", "overview"]))
+    return retrieval.top_k(retrieval.scored(c, F.col("embedding"), _query(spark, d)).select("id", "score").dropDuplicates(["id"]), 10, "id")
 
 
 def r5_hybrid(spark, d):
@@ -88,7 +93,7 @@ def a17_normalised(spark, d):
 
 
 def r10_completion(spark, d):
-    """Two hops at most: the best chunks whose text points elsewhere draw in the neighbours of the same content."""
+    """One hop: the best chunks whose text points elsewhere draw in the neighbours of the same content."""
     from ..functions import text as T
 
     all_chunks = _chunks(spark, d)
