@@ -54,3 +54,28 @@ SELECT category, substr(md5(code), 1, 8) AS hash, round(least(1.0, 0.1 * any_val
 from ..operators.documents import TRIVIAL as _TRIVIAL  # noqa: E402
 
 ORACLES["k16_examples"] = ORACLES["k16_examples"].replace("TRIVIAL", _esc(_TRIVIAL))
+
+from ..functions import vector as _V  # noqa: E402
+from .q_retrieval import _C, QUESTION as _QUESTION  # noqa: E402
+
+
+def _ngrams(source: str) -> str:
+    """CTEs up to ``nv`` (id, idx, weight) of the rows (id, t) of ``source``; CRC-32 by its table, from the polynomial."""
+    sizes = ", ".join(f"({n}, {w}::DOUBLE)" for n, w in _V.WEIGHTS.items())
+    return f"""tb AS MATERIALIZED (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+it AS (SELECT id, lower(t) AS t FROM ({source}) WHERE length(t) >= 3), gr AS (SELECT id, w, unnest(list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))) AS g FROM it, (VALUES {sizes}) s(n, w)),
+dg AS (SELECT g, list_transform(range(1, octet_length(encode(g)) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT g FROM gr)),
+cr AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % {_V.DIMENSIONS} AS idx FROM dg, tb),
+sm AS (SELECT id, idx, ln(1 + sum(w)) AS v FROM gr JOIN cr USING (g) GROUP BY id, idx), nv AS (SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS weight FROM sm)"""
+
+
+_ITEMS = "SELECT item_id AS id, question AS t FROM eval_items"
+_ASK = "'" + _QUESTION.replace("'", "''") + "'"
+ORACLES |= {
+    "v3_ngrams": f"WITH {_ngrams(_ITEMS)} SELECT id, idx, round(weight, 6) AS weight FROM nv",
+    "v4_ngram_scores": f"""WITH {_ngrams(_ITEMS + f" UNION ALL SELECT -1, {_ASK}")}, q AS (SELECT idx, weight AS qw FROM nv WHERE id = -1)
+SELECT id, round(sum(weight * coalesce(qw, 0)), 6) AS sparse FROM nv LEFT JOIN q USING (idx) WHERE id <> -1 GROUP BY id""",
+    "r5_hybrid": f"""WITH {_C.rstrip()}, ca AS (SELECT id, content, score AS dense FROM sc WHERE content IS NOT NULL ORDER BY score DESC, id LIMIT 40), {_ngrams(f"SELECT id, content AS t FROM ca UNION ALL SELECT '', {_ASK}")},
+qv AS (SELECT idx, weight AS qw FROM nv WHERE id = ''), sp AS (SELECT id, sum(weight * coalesce(qw, 0)) AS s FROM nv LEFT JOIN qv USING (idx) WHERE id <> '' GROUP BY id)
+SELECT id, dense, round(coalesce(s, 0), 6) AS sparse, round(dense * {_V.DENSE_SHARE} + coalesce(s, 0) * (1 - {_V.DENSE_SHARE}), 6) AS score FROM ca LEFT JOIN sp USING (id) ORDER BY score DESC, id LIMIT 20""",
+}
