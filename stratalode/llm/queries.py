@@ -142,15 +142,22 @@ w AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+') AS w FRO
 s AS (
   SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS s
   FROM w WHERE len(w) >= 3),
-n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 i AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM i JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
+SELECT id_a, id_b FROM i JOIN z a ON a.id = id_a JOIN z b ON b.id = id_b WHERE i >= 0.5 * (a.n + b.n - i)
 """
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_aligned": p5_aligned, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
-ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL,
+_P5_CLASSES_SQL = "WITH RECURSIVE " + _P5_SQL.strip()[5:].replace("SELECT id_a, id_b FROM i JOIN", ", p AS (SELECT id_a, id_b FROM i JOIN") + """),
+e AS (SELECT id_a AS a, id_b AS b FROM p UNION SELECT id_b, id_a FROM p),
+l AS (SELECT a AS id, a AS label FROM e UNION SELECT e.b, l.label FROM l JOIN e ON e.a = l.id),
+k AS (SELECT id, min(label) AS class_id FROM l GROUP BY id), n AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT c.id, coalesce(k.class_id, c.id) AS class_id, coalesce(n.links, 0) AS links FROM (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL) c LEFT JOIN k USING (id) LEFT JOIN n USING (id)
+"""
+
+ORACLES = {"p4_found": _P4_SQL, "p5_found": _P5_SQL, "p5_classes": _P5_CLASSES_SQL,
     "p9_found": """
 WITH i AS (
   SELECT item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w
