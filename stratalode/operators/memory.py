@@ -153,6 +153,14 @@ def stats(m: DataFrame) -> DataFrame:
                                              (F.count("*") >= 10).alias("should_reflect"))
 
 
+def scope_stats(m: DataFrame, enough: int = 10) -> DataFrame:
+    """(user_id, layer, memories, models, mixed, should_reflect): several embedding models in one scope are a warning, since their
+    similarities do not compare; a reflection is due once ``enough`` rows are newer than the last one (``reflected_ms``, null: never)."""
+    fresh = F.col("reflected_ms").isNull() | (F.col("created_ms") > F.col("reflected_ms"))
+    models = F.count_distinct("model")
+    return m.groupBy("user_id", "layer").agg(F.count("*").alias("memories"), models.alias("models"), (models > 1).alias("mixed"), (F.count_if(fresh) >= enough).alias("should_reflect"))
+
+
 def apply_access(m: DataFrame, deltas: DataFrame) -> DataFrame:
     """Adds buffered access deltas (id, n, last_ms); a left join on the id."""
     d = deltas.groupBy("id").agg(F.sum("n").alias("_n"), F.max("last_ms").alias("_l"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core.manifest import ManifestStore
-from ..operators import chunking, code, crawl, ingest, memory, outline, retrieval, search
+from ..operators import chunking, crawl, ingest, memory, outline, retrieval, search
 from ..session import table, workspace
 from ..sources import archives
-from .q_code import _DEF, _EDGES, _PF, _files, _modules
+from .q_code import _DEF, _EDGES, _PF, _files
 from .q_ingest import _LINES, PRESENT
-from .q_retrieval import _C, _GAIN, QUESTION, _chunks, _query, _scored
+from .q_retrieval import _C, QUESTION, _chunks, _query, _scored
 from .q_search import _lines
 
 BUNDLES = ["bdl_434fda519065", "bdl_2c44fd71304c"]
@@ -244,7 +244,6 @@ n1 AS (SELECT * FROM t WHERE (content_key, chunk_index) IN (SELECT content_key,
 a2 AS (SELECT content_key, unnest([chunk_index - 1, chunk_index + 1]) AS chunk_index FROM n1 WHERE regexp_matches(content, '(?i)\\bthe rest\\b')),
 n2 AS (SELECT * FROM t WHERE (content_key, chunk_index) IN (SELECT content_key, chunk_index FROM a2) AND id NOT IN (SELECT id FROM s) AND id NOT IN (SELECT id FROM n1))
 SELECT id, score, 0 AS hop FROM s UNION ALL SELECT id, 0.5, 1 FROM n1 UNION ALL SELECT id, 0.5, 2 FROM n2""",
-    "r10_completion": None,
     "j10_near": """WITH p AS (SELECT a.vec_id AS q, b.vec_id AS e, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, e::VARCHAR) AS rn FROM p WHERE s >= 0.3) SELECT q::VARCHAR AS id, e::VARCHAR AS existing, s AS similarity FROM r WHERE rn <= 5""",
     "j15_listing": f"""WITH {_C}, z AS (SELECT id, level, bundle_id, content_hash AS h, m.repo_id AS r, m.paper_id AS p FROM c JOIN raw USING (id)),
@@ -294,5 +293,3 @@ SELECT id, gain FROM ga ORDER BY gain DESC, id LIMIT 10""",
 }
 _TERMS = sorted({t for t in __import__("re").findall(r"[^\W_]+", QUESTION.lower()) if len(t) > 1})
 ORACLES["r14_pipeline"] = ORACLES["r14_pipeline"].replace("QT", "['" + "', '".join(_TERMS) + "']").replace("QN", f"{len(_TERMS)}.0")
-ORACLES = {k: v for k, v in ORACLES.items() if v}
-_ = (_GAIN, _modules, code)
