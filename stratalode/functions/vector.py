@@ -93,6 +93,16 @@ def softmax_entropy(logprobs: Column) -> Column:
     return F.aggregate(F.transform(p, lambda x: x / total), F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log(x)).otherwise(0.0))
 
 
+def token_uncertainty(tokens: Column, logprobs: Column) -> Column:
+    """Mean over the tokens of the entropy of their alternatives, over that of an even choice, without special tokens (``<...>``).
+
+    ``tokens`` is an array of strings, ``logprobs`` one array of log probabilities for each; a token with one alternative counts zero;
+    null where no token is left."""
+    both = F.filter(F.arrays_zip(tokens.alias("t"), logprobs.alias("l")), lambda z: ~z["t"].rlike(r"^<[^<>]*>$") & (F.size(z["l"]) > 0))
+    each = F.transform(both, lambda z: F.when(F.size(z["l"]) > 1, softmax_entropy(z["l"]) / F.log(F.size(z["l"]).cast("double"))).otherwise(0.0))
+    return F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(each))
+
+
 def heuristic_uncertainty(prompt: Column) -> Column:
     """Offline stand-in for a model's normalised uncertainty, keyed on words of the prompt (fixed values)."""
     low = F.lower(prompt)

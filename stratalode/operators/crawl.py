@@ -124,6 +124,19 @@ def quick_changed(sample: DataFrame, now: DataFrame) -> bool:
     return not sample.join(now.select("url", "hash"), ["url", "hash"], "left_anti").isEmpty()
 
 
+def changed_in_sitemap(sitemap: DataFrame, state: DataFrame) -> DataFrame:
+    """The entries (url, lastmod) to fetch again: never fetched, without a time, or changed since (url, fetched_at)."""
+    seen = state.groupBy("url").agg(F.max("fetched_at").alias("fetched_at"))
+    rows = sitemap.join(seen, "url", "left")
+    return rows.where(F.col("fetched_at").isNull() | F.col("lastmod").isNull() | (F.col("lastmod") > F.col("fetched_at"))).select("url", "lastmod")
+
+
+def full_due(sites: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """(site, due): whether a full crawl is due, from (site, full_at): never crawled or ``days`` or more days ago."""
+    last = sites.groupBy("site").agg(F.max("full_at").alias("full_at"))
+    return last.select("site", (F.col("full_at").isNull() | (F.col("full_at") <= as_of - F.expr(f"interval {days} days"))).alias("due"))
+
+
 def best_pages(readings: DataFrame) -> DataFrame:
     """(page, reader, text, points): of several readings (page, reader, text) of a page the best one; ties: the smaller reader.
 

@@ -169,6 +169,26 @@ def html_to_markdown(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return slim.mapInArrow(run, "id string, markdown string").withColumn("hash", F.sha2("markdown", 256))
 
 
+def layout_kinds(items: DataFrame) -> DataFrame:
+    """(page, line, text, kind) of positioned pieces of print (page, x, y, size, font, text): pieces of one height form a line.
+
+    heading: larger than the page's usual size by a sixth and short; code: a fixed-width font; table: three or more pieces with wide
+    gaps between them; formula: mostly signs of mathematics; else text. The usual size is the page's median by approx percentile.
+    """
+    usual = items.groupBy("page").agg(F.percentile_approx("size", 0.5).alias("usual"))
+    cells = items.where(F.trim("text") != "").withColumn("line", F.round("y", 0).cast("int"))
+    lines = cells.groupBy("page", "line").agg(
+        F.array_sort(F.collect_list(F.struct("x", "text", "size"))).alias("c"), F.max("size").alias("size"), F.bool_and(F.lower("font").rlike("mono|courier|consol|code")).alias("fixed"))
+    text = F.array_join(F.transform("c", lambda z: z["text"]), " ")
+    gaps = F.size(F.filter(F.sequence(F.lit(2), F.greatest(F.size("c"), F.lit(2))), lambda i: (i <= F.size("c")) & (F.try_element_at("c", i)["x"] - F.try_element_at("c", i - 1)["x"] > 3 * F.col("size") + F.length(F.try_element_at("c", i - 1)["text"]) * F.col("size") * 0.45)))
+    signs = F.length(F.regexp_replace(text, r"[^=+−\-*/^_<>≤≥∑∏∫√∞α-ωΑ-Ω∂∇±×·()\[\]{}|]", ""))
+    kind = (
+        F.when(F.col("fixed"), "code").when((F.col("size") >= F.col("usual") * 7 / 6) & (F.length(text) <= 200), "heading").when(gaps >= 2, "table")
+        .when((F.length(text) <= 200) & (signs * 4 >= F.length(F.regexp_replace(text, r"\s", ""))), "formula").otherwise("text")
+    )
+    return lines.join(usual, "page").select("page", "line", text.alias("text"), kind.alias("kind"))
+
+
 def metadata(text: Column) -> Column:
     """A struct of links and licence found in a text; null fields where there are none."""
     def found(p: str, prefix: str = "") -> Column:

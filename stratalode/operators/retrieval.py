@@ -172,6 +172,28 @@ def complete(seeds: DataFrame, chunks: DataFrame, needs_more: Column, hops: int
     return found
 
 
+def answer(ranked: DataFrame, query: str, k: int = 5, enough: float = 0.7, step: int = 5, most: int = 20) -> tuple[str, float, int]:
+    """(answer, support, chunks used) without a model: the sentence of the best chunks that shares most terms with the question.
+
+    ``ranked`` gives (id, content, score). Support is the share of the question's terms that the chunks used hold; below ``enough`` the
+    answer is tried again with ``step`` chunks more, up to ``most``: a handful of rows, so the driver decides."""
+    import re
+
+    rows = [r["content"] for r in top_k(ranked.where("content is not null"), most, "id").collect()]
+    want = {t for t in re.findall(r"[^\W_]+", query.lower()) if len(t) > 2}
+    has = lambda text: {t for t in re.findall(r"[^\W_]+", text.lower())}
+    n = min(k, len(rows))
+    while True:
+        used = rows[:n]
+        support = len(want & has(" ".join(used))) / len(want) if want else 1.0
+        if support >= enough or n >= min(most, len(rows)):
+            break
+        n = min(n + step, len(rows), most)
+    sentences = [s.strip() for t in used for s in re.split(r"(?<=[.!?])\s+|\n+", t) if s.strip()]
+    best = max(sentences, key=lambda s: (len(want & has(s)), -len(s)), default="")
+    return best, round(support, 6), n
+
+
 def list_by_keys(chunks: DataFrame) -> DataFrame:
     """(key, l1, l2, l3): finer chunks counted under the content that the first of their candidate keys names.
 

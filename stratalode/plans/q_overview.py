@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import code, ingest, memory, overview
+from ..operators import chunking, code, crawl, documents, ingest, memory, outline, overview, retrieval
 from ..session import table
 from .q_code import _files, _metrics, _PF
 from .q_ingest import _LANG, EXT, PRESENT
 from .q_memory import _M, _rows
 from .q_oracles import _METRICS
-from .q_retrieval import _C, _chunks
+from .q_retrieval import _C, QUESTION, _chunks, _scored
 
 FRAMEWORKS = ("react", "flask", "django", "express", "spring", "pandas", "numpy")
 
@@ -100,9 +100,45 @@ def c6_contexts(spark, d):
     return t.select("doc_id", F.nullif(title, F.lit("")).alias("title"), F.substring(rest, 1, 500).alias("abstract"))
 
 
-QUERIES = {f.__name__: f for f in (g4_facts, g6_names, g7_tree, g7_candidates, g2_imports, g10_merged_cards, a14_summary, a7_models, w13_context, t25_paper_titles, r18_related, x8_modal_rows, c6_contexts)}
+def j5_sitemap(spark, d):
+    """Bundles whose sitemap entry is newer than the last fetch of their page."""
+    b = table(spark, d, "bundles").where("repo is not null")
+    fetched = b.where(F.length("repo") % 5 != 0).select(F.col("repo").alias("url"), F.expr("created_at + interval 30 days").alias("fetched_at"))
+    return crawl.changed_in_sitemap(b.select(F.col("repo").alias("url"), F.col("updated_at").alias("lastmod")), fetched)
+
+
+def i3_due(spark, d):
+    """Statuses of index runs whose last finished run is a week old on a given day."""
+    return crawl.full_due(table(spark, d, "index_runs").select(F.col("status").alias("site"), F.col("finished_at").alias("full_at")), F.lit("2025-06-01").cast("timestamp_ntz"))
+
+
+def r13_verified(spark, d):
+    """The answer without a model, with its support, tried again with more chunks where that is low."""
+    text, support, used = retrieval.answer(_scored(spark, d), QUESTION)
+    return spark.createDataFrame([(text, support, used)], "answer string, support double, chunks int")
+
+
+def k13_depths(spark, d):
+    """Design patterns by all three depths of evidence."""
+    f = _files(spark, d)
+    return code.pattern_evidence(code.definitions(f), outline.symbols(f), 3)
+
+
+def c14_bridge(spark, d):
+    """Chunks from all sources in one frame: cards, readme sections, code symbols."""
+    b = table(spark, d, "bundles").select(F.col("bundle_id").alias("card_id"), F.col("display_name").alias("name"), "repo", "primary_lang", "tags")
+    cards = documents.card_chunks(b, {"summary": "repo", "tech_stack": "primary_lang", "use_case": "tags"}).select(F.lit("repocard").alias("source"), F.col("card_id").alias("key"), "content", F.lit("l1").alias("level"))
+    docs = chunking.level_chunks(table(spark, d, "documents").where("doc_kind = 'readme'"), "doc_id", "text", 2).select(F.lit("readme").alias("source"), F.col("doc").alias("key"), "content", F.lit("l2").alias("level"))
+    s = outline.symbols(_files(spark, d)).select(F.lit("code").alias("source"), F.concat_ws("#", "path", "name").alias("key"), F.concat_ws(" ", "kind", "name").alias("content"), F.lit("l2").alias("level"))
+    return cards.unionByName(docs).unionByName(s).groupBy("source", "level").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (j5_sitemap, i3_due, r13_verified, k13_depths, c14_bridge, g4_facts, g6_names, g7_tree, g7_candidates, g2_imports, g10_merged_cards, a14_summary, a7_models, w13_context, t25_paper_titles, r18_related, x8_modal_rows, c6_contexts)}
 _FW = ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{f}') THEN '{f}' END" for f in FRAMEWORKS)
 ORACLES = {
+    "j5_sitemap": """WITH b AS (SELECT repo AS url, updated_at AS lastmod, CASE WHEN length(repo) % 5 <> 0 THEN created_at + INTERVAL 30 DAY END AS fetched_at FROM bundles WHERE repo IS NOT NULL)
+SELECT url, lastmod FROM b WHERE fetched_at IS NULL OR lastmod IS NULL OR lastmod > fetched_at""",
+    "i3_due": "SELECT status AS site, coalesce(max(finished_at) <= TIMESTAMP '2025-06-01' - INTERVAL 7 DAY, TRUE) AS due FROM index_runs GROUP BY status",
     "g4_facts": f"""WITH {PRESENT}, x AS (SELECT *, {EXT.format('rel')} AS e, regexp_extract(rel, '[^/]*$') AS b FROM pf), y AS (SELECT *, {_LANG} AS language FROM x),
 fw AS (SELECT repo, array_to_string(list_sort(list(DISTINCT f)), ',') AS frameworks FROM (SELECT repo, unnest([{_FW}]) AS f FROM pf) WHERE f IS NOT NULL GROUP BY repo),
 ml AS (SELECT repo, language, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, language) AS rn FROM y WHERE language IS NOT NULL AND kind = 'code' GROUP BY repo, language)

@@ -1,5 +1,7 @@
 """Every query of the core that has SQL gives the rows that DuckDB gives."""
 
+import os
+
 import pytest
 
 from oracle_check import connect, norm
@@ -22,10 +24,16 @@ def test_same_rows(spark, data, con, name):
     assert norm(got) == norm(want)
 
 
+# What the data do not hold; fixtures test these.
+NOTHING_THERE = {"k10_python_checks", "k15_patterns"}
+
+
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(spark, data, name):
-    df = ALL[name](spark, data)
-    assert df.columns and df.count() >= 0
+    larger = os.path.join(os.path.dirname(data.rstrip("/")), "sf0.01")  # the smallest tables lack some kinds of rows
+    rows = ALL[name](spark, larger if os.path.isdir(larger) else data).collect()
+    assert bool(rows) != (name in NOTHING_THERE)
+    assert all(any(v is not None for v in r) for r in rows)
 
 
 def test_entry_names():

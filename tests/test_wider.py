@@ -246,3 +246,49 @@ def test_pages_of_a_list(spark):
     assert p(0) == [(0, True), (1, True), (2, True)] and p(6) == [(6, False)] and p(4) == [(4, False), (5, False), (6, False)] and p(9) == []
     with pytest.raises(ValueError):
         retrieval.retrieve(rows, "none", "", [0.0], 1)
+
+
+def test_layout_kinds(spark):
+    rows = [(1, 50.0, 10.0, 18.0, "Serif", "The Title"), (1, 50.0, 30.0, 10.0, "Serif", "ordinary words of a line"), (1, 50.0, 40.0, 10.0, "Serif", "more words"), (1, 50.0, 45.0, 10.0, "Serif", "and more"),
+            (1, 50.0, 50.0, 10.0, "Courier", "x = f(y)"), (1, 50.0, 60.0, 10.0, "Serif", "a"), (1, 150.0, 60.2, 10.0, "Serif", "b"), (1, 250.0, 60.0, 10.0, "Serif", "c"), (1, 50.0, 70.0, 10.0, "Serif", "a = (b + c)"), (1, 50.0, 80.0, 10.0, "Serif", " ")]
+    from stratalode.operators import documents
+
+    got = {r["line"]: (r["kind"], r["text"]) for r in documents.layout_kinds(spark.createDataFrame(rows, "page int, x double, y double, size double, font string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {10: "heading", 30: "text", 40: "text", 45: "text", 50: "code", 60: "table", 70: "formula"} and got[60][1] == "a b c"
+
+
+def test_token_uncertainty(spark):
+    from stratalode.functions import vector as V
+
+    rows = [(["<s>", "a"], [[0.0, -9.0], [-1.0, -1.0]]), (["a"], [[-0.1]]), (["<s>"], [[-1.0, -1.0]]), ([], [])]
+    df = spark.createDataFrame(rows, "t array<string>, l array<array<double>>")
+    assert [None if r[0] is None else round(r[0], 6) for r in df.select(V.token_uncertainty(F.col("t"), F.col("l"))).collect()] == [1.0, 0.0, None, None]
+
+
+def test_answers_are_tried_again(spark):
+    rows = [(f"c{i:02d}", "filler words only.", 1.0 - i / 100) for i in range(7)] + [("z", "Other words. The gateway validates the snapshot. More.", 0.1)]
+    df = spark.createDataFrame(rows, "id string, content string, score double")
+    assert retrieval.answer(df, "gateway validates snapshot", k=2, step=3) == ("The gateway validates the snapshot.", 1.0, 8)
+    assert retrieval.answer(df, "nowhere", k=2)[1:] == (0.0, 8) and retrieval.answer(df.limit(0), "x y", k=2)[0] == ""
+
+
+def test_sitemap_changes_and_full_crawls(spark):
+    import datetime as dt
+
+    t = dt.datetime
+    site = spark.createDataFrame([("a", t(2024, 2, 1)), ("b", t(2024, 1, 1)), ("c", None), ("d", t(2024, 1, 1))], "url string, lastmod timestamp")
+    state = spark.createDataFrame([("a", t(2024, 1, 15)), ("b", t(2024, 1, 15)), ("c", t(2024, 1, 15))], "url string, fetched_at timestamp")
+    assert {r["url"] for r in crawl.changed_in_sitemap(site, state).collect()} == {"a", "c", "d"}
+    sites = spark.createDataFrame([("x", t(2024, 1, 1)), ("x", t(2024, 1, 9)), ("y", None), ("z", t(2024, 1, 1))], "site string, full_at timestamp")
+    assert {r["site"]: r["due"] for r in crawl.full_due(sites, F.lit("2024-01-10").cast("timestamp")).collect()} == {"x": False, "y": True, "z": True}
+
+
+def test_card_merge_and_relations(spark):
+    from stratalode.operators import overview
+
+    old = spark.createDataFrame([("r", "A", ["x"]), ("only", None, None)], "repo string, name string, tags array<string>")
+    new = spark.createDataFrame([("r", None, ["y", "x"]), ("fresh", "B", [])], "repo string, name string, tags array<string>")
+    assert {tuple(map(str, r)) for r in overview.merge_cards(old, new).collect()} == {("r", "A", "['x', 'y']"), ("only", "None", "[]"), ("fresh", "B", "[]")}
+    e = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "entity string")
+    links = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d")], "src string, dst string")
+    assert {r["entity"]: r["distance"] for r in overview.related(e, links, "a", 2).collect()} == {"a": 0, "b": 1, "c": 2}
