@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest, search
-from ..session import table
+from ..session import table, workspace
 from .q_ingest import _LINES
 
 QUERY = "lockfile snapshot gateway"
@@ -29,11 +29,7 @@ def x3_phrases(spark, d):
 
 def x3_indexed(spark, d):
     """The same ranking from the durable inverted index."""
-    import uuid
-
-    from ..session import shared_dir
-
-    root = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    root = workspace(spark, "index")
     search.write_index(_lines(spark, d), root)
     return search.bm25_indexed(spark, root, QUERY).withColumn("score", F.round("score", 6))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
 from ..streaming import access
 
 
@@ -15,15 +14,14 @@ def i5_access_totals(spark, d):
 
 
 def i5_windows(spark, d):
-    """The same window aggregate in batch form."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = access.windows(e)
+    """Counts per hour and type, through the stream."""
+    w = access.drain_windows(spark, f"{d}/events.parquet")
     return w.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
 def i5_sessions(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    s = access.sessions(e)
+    """Sessions with gaps of half an hour, through the stream."""
+    s = access.drain_sessions(spark, f"{d}/events.parquet")
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import workspace
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +59,36 @@ def totals(spark: SparkSession, out: str, key: str = "user_id") -> DataFrame:
 
 def drain(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
     """All events of a path through the stream, as totals per key."""
-    out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = workspace(spark, "stream")
     merge_batches(read_events(spark, path), out, key)
     return totals(spark, out, key)
+
+
+def _drained(rows: DataFrame, out: str, mode: str) -> None:
+    """Runs a streaming query over what is there; each micro-batch goes to a folder of its own number, a repeated one overwrites it."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    q = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def _timed(spark: SparkSession, path: str, time: str) -> DataFrame:
+    return read_events(spark, path).withColumn(time, F.col(time).cast("timestamp"))
+
+
+def drain_windows(spark: SparkSession, path: str, key: str = "event_type", time: str = "ts") -> DataFrame:
+    """(start, key, n) of all events of a path through the stream: every batch gives the windows that it changed, the latest counts."""
+    out = workspace(spark, "stream")
+    _drained(windows(_timed(spark, path, time), key, time), out, "update")
+    return spark.read.parquet(f"{out}/rows").groupBy("start", key).agg(F.max_by("n", "batch").alias("n"))
+
+
+def drain_sessions(spark: SparkSession, path: str, key: str = "user_id", time: str = "ts") -> DataFrame:
+    """(start, end, key, n) of all events of a path through the stream. Open sessions may still merge, so every batch gives the whole
+    table and the last one counts."""
+    out = workspace(spark, "stream")
+    _drained(sessions(_timed(spark, path, time), key, time), out, "complete")
+    rows = spark.read.parquet(f"{out}/rows")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == F.lit(last)).drop("batch")

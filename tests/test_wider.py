@@ -292,3 +292,17 @@ def test_card_merge_and_relations(spark):
     e = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "entity string")
     links = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d")], "src string, dst string")
     assert {r["entity"]: r["distance"] for r in overview.related(e, links, "a", 2).collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    from stratalode.streaming import access
+
+    t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    rows = [("u", "x", t(1, 0)), ("u", "x", t(1, 20)), ("u", "y", t(1, 40)), ("u", "x", t(3, 0)), ("v", "y", t(1, 59))]
+    events = spark.createDataFrame(rows, "user_id string, event_type string, ts timestamp")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events")
+    got = {(r["start"].hour, r["event_type"]): r["n"] for r in access.drain_windows(spark, f"{tmp_path}/events").collect()}
+    assert got == {(1, "x"): 2, (1, "y"): 2, (3, "x"): 1}
+    assert sorted((r["user_id"], r["n"]) for r in access.drain_sessions(spark, f"{tmp_path}/events").collect()) == [("u", 1), ("u", 3), ("v", 1)]
