@@ -82,6 +82,16 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
         of_index.select(F.lit("semantic_index").alias("collection"), "*"))
 
 
+def p6_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized item put together again from its pieces: each piece within the limit, each next one without what it shares."""
+    shared = F.when(F.col("piece") > 0, split.OVERLAP).otherwise(0)
+    rows = p6_pieces(spark, d).select("collection", "id", "piece", F.length("content").alias("size"), F.col("content").alias("c"), shared.alias("shared"))
+    rows = rows.select("collection", "id", "size", F.struct("piece", F.substring(F.col("c"), F.col("shared") + 1, F.col("size")).alias("rest")).alias("x"))
+    whole = rows.groupBy("collection", "id").agg(F.max("size").alias("longest"), F.array_sort(F.collect_list("x")).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["rest"]), "")
+    return whole.select("collection", "id", (F.col("longest") <= split.LIMIT).alias("fits"), F.md5(text).alias("content_md5"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     chunks, index = table(spark, d, "chunks"), table(spark, d, "semantic_index")
     chunks = chunks.select("id", "content", F.col("metadata.section_heading").alias("heading"))
@@ -148,7 +158,7 @@ SELECT id_a, id_b FROM i JOIN z a ON a.id = id_a JOIN z b ON b.id = id_b WHERE i
 """
 
 QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p5_found": p5_found, "p5_aligned": p5_aligned, "p5_classes": p5_classes,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_rejoined": p6_rejoined, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found, "p10_clean": p10_clean, "p9_spans": p9_spans}
 _P5_CLASSES_SQL = "WITH RECURSIVE " + _P5_SQL.strip()[5:].replace("SELECT id_a, id_b FROM i JOIN", ", p AS (SELECT id_a, id_b FROM i JOIN") + """),
 e AS (SELECT id_a AS a, id_b AS b FROM p UNION SELECT id_b, id_a FROM p),
@@ -170,6 +180,9 @@ h AS (
   SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS g
   FROM d WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
+    "p6_rejoined": """
+SELECT DISTINCT 'chunks' AS collection, id, TRUE AS fits, md5(content) AS content_md5 FROM chunks WHERE length(content) > 2048 AND id IS NOT NULL
+UNION SELECT DISTINCT 'semantic_index', id, TRUE, md5(content) FROM semantic_index WHERE length(content) > 2048 AND id IS NOT NULL""",
     "p6_found": """
 SELECT 'chunks' AS collection, id FROM chunks WHERE length(content) > 2048
 UNION SELECT 'semantic_index', id FROM semantic_index WHERE length(content) > 2048""",
