@@ -24,10 +24,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, spread
+from ..session import checkpoint
 
 KINDS = ("generated", "minified", "data", "vendored")
 
@@ -261,9 +261,11 @@ def style_of(names: Counter) -> str:
 
 def unwritten(files: DataFrame) -> DataFrame:
     """(path, kinds) of every present code file; kinds is empty for hand-written source."""
-    code = files.select("path", "repo", "kind", "sha256", "text", "updated_at").where(
-        (F.lower(F.trim("kind")) == "code") & F.col("path").isNotNull() & (F.length("text") > 0))
-    code = spread(code)
+    is_code = F.coalesce(F.lower(F.trim("kind")) == "code", F.lit(False))
+    # the present row of every path before anything reads its text; copies and versions meet in the map tasks first
+    row = F.struct("updated_at", "sha256", is_code.alias("is_code"), "repo", F.when(is_code, F.col("text")).alias("text"))
+    newest = files.where("path is not null").groupBy("path").agg(F.max(row).alias("r")).where("r.is_code and length(r.text) > 0")
+    code = checkpoint(newest.select("path", "r.repo", "r.text"))  # read by the training and by the verdicts
     model = train(code)
     shared = files.sparkSession.sparkContext.broadcast(model)
 
@@ -278,16 +280,10 @@ def unwritten(files: DataFrame) -> DataFrame:
                 lines.append(line_hashes(text))
                 styles.append(f"{language(path)}:{style_of(names)}")
             yield pa.RecordBatch.from_arrays(
-                [b.column("path"), b.column("repo"), b.column("sha256"), b.column("updated_at"), pa.array(kinds, pa.list_(pa.string())),
-                 pa.array(foreign), pa.array(lines, pa.list_(pa.int64())), pa.array(styles, pa.string())],
-                names=["path", "repo", "sha256", "updated_at", "kinds", "is_foreign", "lines", "style"])
-
-    stamp = dict(code.dtypes)["updated_at"]
-    seen = code.mapInArrow(
-        features, f"path string, repo string, sha256 string, updated_at {stamp}, kinds array<string>, is_foreign boolean, "
-                  "lines array<bigint>, style string", )
-    newest = Window.partitionBy("path").orderBy(F.col("updated_at").desc_nulls_last(), F.col("sha256").desc_nulls_last())
-    present = checkpoint(seen.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn"))
+                [b.column("path"), b.column("repo"), pa.array(kinds, pa.list_(pa.string())), pa.array(foreign), pa.array(lines, pa.list_(pa.int64())), pa.array(styles, pa.string())],
+                names=["path", "repo", "kinds", "is_foreign", "lines", "style"])
+
+    present = checkpoint(code.mapInArrow(features, "path string, repo string, kinds array<string>, is_foreign boolean, lines array<bigint>, style string"))
     lines = present.select("path", "repo", "is_foreign", F.explode("lines").alias("line"))
     # exact: the limits are small numbers; both steps combine in each task first
     by_repo = lines.groupBy("line", F.coalesce("repo", F.lit("")).alias("repo")).agg(F.max("is_foreign").alias("is_foreign"))

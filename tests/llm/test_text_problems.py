@@ -218,6 +218,14 @@ def test_attribution_below_a_long_licence():
     assert sources.judge(body + "\n" + "\n" * 3 + licence, "r/src/a.js", model)[1] is False
 
 
+def test_only_the_present_row_counts(spark):
+    a, b = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    blob = "\n".join("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVoxMjM0NTY3ODkwYWJjZGVmZ2g=" * 2 for _ in range(20))
+    rows = [("emptied", "r", "code", "1", blob, a), ("emptied", "r", "code", "2", None, b), ("grown", "r", "code", "1", "x = 1", a), ("grown", "r", "Code ", "2", blob, b), ("moved", "r", "code", "1", blob, a), ("moved", "r", "doc", "2", blob, b)]
+    got = {r["path"]: r["kinds"] for r in sources.unwritten(files(spark, rows)).collect()}
+    assert got == {"grown": ["data"]}
+
+
 def test_lines_are_counted_by_repository_exactly(spark):
     lines = [f"the ranks of group {i} stay in the order in which they came to us from reader {i}" for i in range(4)]
     own = lambda n: "\n".join(lines + [f"const x{n} = {n};"])
