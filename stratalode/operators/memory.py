@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import checkpoint
 
 DAY = 86_400_000
 # Thresholds and weights per layer (fixed values).
@@ -49,7 +50,7 @@ def write(m: DataFrame) -> DataFrame:
     """
     ok = gate(m).where("rejected is null").drop("rejected")
     newest = Window.partitionBy("id").orderBy(F.desc("created_ms"), "content")
-    one = ok.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    one = checkpoint(ok.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn"))  # gated once, read by four branches
     # only the capped layer is ranked: a limit per user that each task applies before the shuffle; the others are not sorted
     per_user = Window.partitionBy("user_id").orderBy(F.desc("created_ms"), "id")
     episodic = one.where("layer = 'episodic'").withColumn("_rn", F.row_number().over(per_user)).where(F.col("_rn") <= EPISODIC_CAP).drop("_rn")
