@@ -213,6 +213,18 @@ def list_by_keys(chunks: DataFrame) -> DataFrame:
     return listed.join(finer, "key", "left").select("key", "l1", F.coalesce("l2", F.lit(0)).alias("l2"), F.coalesce("l3", F.lit(0)).alias("l3"))
 
 
+def prune_until(df: DataFrame, most: int, share: float = 0.5, gain: str = "gain", tie: str = "id") -> DataFrame:
+    """Ratio pruning repeated until at most ``most`` rows are left or nothing changes; the rounds are numbers, the rows are cut once."""
+    df = checkpoint(df)
+    n = df.count()
+    while n > most:
+        fewer = max(1, math.ceil(n * share))
+        if fewer == n:
+            break
+        n = fewer
+    return df.orderBy(F.desc(gain), tie).limit(n)
+
+
 def prune(df: DataFrame, strategy: str, value: float, gain: str = "gain", tie: str = "id") -> DataFrame:
     """threshold: gain >= value, may be empty; topk: at most value; ratio: the best ceil(n * value), one at least."""
     if strategy == "threshold":

@@ -79,3 +79,9 @@ SELECT id, round(sum(weight * coalesce(qw, 0)), 6) AS sparse FROM nv LEFT JOIN q
 qv AS (SELECT idx, weight AS qw FROM nv WHERE id = ''), sp AS (SELECT id, sum(weight * coalesce(qw, 0)) AS s FROM nv LEFT JOIN qv USING (idx) WHERE id <> '' GROUP BY id)
 SELECT id, dense, round(coalesce(s, 0), 6) AS sparse, round(dense * {_V.DENSE_SHARE} + coalesce(s, 0) * (1 - {_V.DENSE_SHARE}), 6) AS score FROM ca LEFT JOIN sp USING (id) ORDER BY score DESC, id LIMIT 20""",
 }
+
+from .q_code import ORACLES as _CODE  # noqa: E402
+from .q_text import ORACLES as _TEXT  # noqa: E402
+
+_PARTS = (("dead-code", _CODE["k2_dead_code"]), ("complexity", ORACLES["k7_issues"]), ("error-prone", _CODE["k8_error_prone"]), ("security", _TEXT["t33_credentials"]))
+ORACLES["k1_check_summary"] = " UNION ALL ".join(f"SELECT '{name}' AS check, count(*) AS issues, count(DISTINCT path) AS files FROM ({sql}) HAVING count(*) > 0" for name, sql in _PARTS)

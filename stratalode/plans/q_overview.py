@@ -11,7 +11,7 @@ from .q_code import _files, _metrics, _PF
 from .q_ingest import _LANG, EXT, PRESENT
 from .q_memory import _M, _rows
 from .q_oracles import _METRICS
-from .q_retrieval import _C, QUESTION, _chunks, _scored
+from .q_retrieval import _C, _GAIN, QUESTION, _chunks, _scored
 
 FRAMEWORKS = ("react", "flask", "django", "express", "spring", "pandas", "numpy")
 
@@ -133,9 +133,34 @@ def c14_bridge(spark, d):
     return cards.unionByName(docs).unionByName(s).groupBy("source", "level").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("characters"))
 
 
-QUERIES = {f.__name__: f for f in (j5_sitemap, i3_due, r13_verified, k13_depths, c14_bridge, g4_facts, g6_names, g7_tree, g7_candidates, g2_imports, g10_merged_cards, a14_summary, a7_models, w13_context, t25_paper_titles, r18_related, x8_modal_rows, c6_contexts)}
+def w6_pruned(spark, d):
+    """Pruning by halves until thirty are left."""
+    from .q_retrieval import r11_gain
+
+    return retrieval.prune_until(r11_gain(spark, d), 30)
+
+
+def g9_quality(spark, d):
+    """Per area what was checked and what failed: files and documents without text, chunks without text, heading or vector, cards without a name."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    area = lambda name, df, bad: df.agg(F.count("*").alias("checked"), F.count_if(bad).alias("failed")).select(F.lit(name).alias("area"), "checked", "failed")
+    c = _chunks(spark, d)
+    parts = [area("files", _present(spark, d), blank(F.col("text"))), area("documents", table(spark, d, "documents"), blank(F.col("text"))), area("chunks", c, blank(F.col("content"))),
+             area("vectors", c, ~F.coalesce(retrieval.usable(F.col("v")), F.lit(False))), area("cards", table(spark, d, "bundles"), blank(F.col("display_name")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (w6_pruned, g9_quality, j5_sitemap, i3_due, r13_verified, k13_depths, c14_bridge, g4_facts, g6_names, g7_tree, g7_candidates, g2_imports, g10_merged_cards, a14_summary, a7_models, w13_context, t25_paper_titles, r18_related, x8_modal_rows, c6_contexts)}
 _FW = ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{f}') THEN '{f}' END" for f in FRAMEWORKS)
 ORACLES = {
+    "w6_pruned": "WITH RECURSIVE " + _GAIN.rstrip() + """, cn AS (SELECT count(*) AS n FROM ga), k(n) AS (SELECT n FROM cn UNION ALL SELECT greatest(1, ceil(n * 0.5))::BIGINT FROM k WHERE n > 30),
+r AS (SELECT id, gain, row_number() OVER (ORDER BY gain DESC, id) AS rn FROM ga) SELECT id, gain FROM r WHERE rn <= (SELECT min(n) FROM k)""",
+    "g9_quality": f"""WITH {_C.rstrip()}, {PRESENT} SELECT 'files' AS area, count(*) AS checked, count(*) FILTER (trim(coalesce(text, ''), ' ') = '') AS failed FROM pf
+UNION ALL SELECT 'documents', count(*), count(*) FILTER (trim(coalesce(text, ''), ' ') = '') FROM documents UNION ALL SELECT 'chunks', count(*), count(*) FILTER (trim(coalesce(content, ''), ' ') = '') FROM c
+UNION ALL SELECT 'vectors', count(*), count(*) FILTER (id NOT IN (SELECT id FROM sc)) FROM c UNION ALL SELECT 'cards', count(*), count(*) FILTER (trim(coalesce(display_name, ''), ' ') = '') FROM bundles""",
     "j5_sitemap": """WITH b AS (SELECT repo AS url, updated_at AS lastmod, CASE WHEN length(repo) % 5 <> 0 THEN created_at + INTERVAL 30 DAY END AS fetched_at FROM bundles WHERE repo IS NOT NULL)
 SELECT url, lastmod FROM b WHERE fetched_at IS NULL OR lastmod IS NULL OR lastmod > fetched_at""",
     "i3_due": "SELECT status AS site, coalesce(max(finished_at) <= TIMESTAMP '2025-06-01' - INTERVAL 7 DAY, TRUE) AS due FROM index_runs GROUP BY status",
